@@ -43,10 +43,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
 
     rows = base.join(F.broadcast(repeated), "bucket", "left_semi").select("doc_id", "h", "text", sha)
-    one = rows.groupBy("h").agg(F.max("text").alias("first_text"))
+    # a table of its own, so that the joins that follow can split a hot hash
+    one = stored(rows.groupBy("h").agg(F.max("text").alias("first_text")), "exact")
     checked = stored(rows.join(one, "h").select("doc_id", "h", "text_sha256", F.when(text != F.col("first_text"), text).alias("other")), "exact")
     groups = checked.groupBy("h", "other").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.withColumnsRenamed({"h": "gh", "other": "gother"})
+    groups = stored(groups.withColumnsRenamed({"h": "gh", "other": "gother"}), "exact")
     several = checked.join(groups, (F.col("h") == F.col("gh")) & F.col("other").eqNullSafe(F.col("gother"))).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return single.unionByName(several)
