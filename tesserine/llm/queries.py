@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact import exact_dedup
+from .hmm import lm_scores
 from .idstore import stored_ids
 from .packing import pack_documents
 from .quality import quality_scores
@@ -37,6 +38,10 @@ def op7_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids(table(spark, sf_dir, "documents"))
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2, similarity=None)
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op5_tiff": op5_tiff,
     "op6_packing": op6_packing,
     "op7_id_store": op7_id_store,
+    "op9_hmm": op9_hmm,
     "op10_simhash": op10_simhash,
 }
 
