@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from .exact import exact_dedup
 from .hmm import lm_scores
 from .idstore import stored_ids
+from .mixing import mix_schedule
 from .packing import pack_documents
 from .quality import quality_scores
 from .simhash import simhash_groups
+from .templates import drop_recurring_lines
 from .tiff import text_media
+from .wacz import archived_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_schedule(table(spark, sf_dir, "documents"), budget="total", max_repeats=2.0)
+
+
+def op2_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +49,10 @@ def op7_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids(table(spark, sf_dir, "documents"))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+
+
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -46,17 +61,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2, similarity=None)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_zip_warc": op2_zip_warc,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_tiff": op5_tiff,
     "op6_packing": op6_packing,
     "op7_id_store": op7_id_store,
+    "op8_line_templates": op8_line_templates,
     "op9_hmm": op9_hmm,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
+    # base 32 of a SHA-1: five hex digits are four letters
+    "op2_zip_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS h,
+                     max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+                   (CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM d
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
