@@ -85,14 +85,14 @@ def url_params(spark, sf_dir):
     return rows.select("page_id", F.replace("u", F.lit("http://site/"), F.lit("")).alias("url"), F.substring(got["name"], 3, 20).alias("number"), got["topN"].alias("top"))
 
 
-_WEIGHTS = {"the": (1.0, 0.5), "of": (0.25, -0.5), "der": (-1.0, 0.125), "que": (0.5, 0.0625)}
+_WEIGHTS = {"the": (1.0, 0.5), "of": (0.25, -0.5), "with": (-1.0, 0.125), "that": (0.5, 0.0625)}
 _SCORE = "1.5 " + " ".join(f"+ CASE WHEN regexp_matches(text[1:40], '(?i)\\b{p}\\b') THEN {a} ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\\b{p}\\b') THEN {b} ELSE 0 END" for p, (a, b) in _WEIGHTS.items())
 
 
-@query(f"SELECT doc_id, CAST({_SCORE} AS DOUBLE) AS score FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, CAST({_SCORE} AS DOUBLE) AS score FROM documents")
 def rule_score(spark, sf_dir):
     score = classify.linear_score(F.substring("text", 1, 40), F.col("text"), _WEIGHTS, 1.5)
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", score.alias("score"))
+    return _docs(spark, sf_dir).select("doc_id", score.alias("score"))
 
 
 _SAID = "NOT regexp_matches(text, '[|$%&#*!]{1,3}') "
@@ -139,10 +139,10 @@ def rule_cascade(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", classify.relevance(F.substring("text", 1, 80), F.col("text"), rules).alias("relevance"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '(?i)\\bwith\\b')) = 1 AND NOT regexp_matches(text[1:40], '(?i)\\bwith\\b') AND source NOT IN ('src1', 'src2') AS demoted FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, len(regexp_extract_all(text, '(?i)\\bwith\\b')) = 1 AND NOT regexp_matches(text[1:40], '(?i)\\bwith\\b') AND source NOT IN ('src1', 'src2') AS demoted FROM documents""")
 def single_mention(spark, sf_dir):
     demoted = classify.rests_on_one_mention(F.substring("text", 1, 40), F.col("text"), ["with"], F.lit(False), F.col("source"), ["src1", "src2"])
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", demoted.alias("demoted"))
+    return _docs(spark, sf_dir).select("doc_id", demoted.alias("demoted"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text[1:60], '(?i)\\b(?:that|this)\\b') OR len(regexp_extract_all(text, '(?i)\\b(?:that|this)\\b')) >= 2 THEN 'first' WHEN regexp_matches(text[1:60], '(?i)\\b(?:der|die)\\b') OR len(regexp_extract_all(text, '(?i)\\b(?:der|die)\\b')) >= 2 THEN 'second' END AS gate FROM documents""")
@@ -157,11 +157,10 @@ def fuzzy_candidates(spark, sf_dir):
     return quality.fuzzy_candidates(items.where("id % 2 = 0"), items.where("id % 2 = 1"), "text")
 
 
-@query("""SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 2))) AS words FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query(r"""SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and')))) AS words FROM documents""")
 def significant_words(spark, sf_dir):
-    plain = _docs(spark, sf_dir).where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    words = F.filter(text.significant_words(F.regexp_replace("text", r"[^A-Za-z]", " ")), lambda w: F.length(w) > 2)
-    return plain.select("doc_id", F.size(words).cast("long").alias("words"))
+    words = text.significant_words(F.col("text"), ["the", "and"])
+    return _docs(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("words"))
 
 
 @query("""SELECT conv_id, count(*) AS turns, string_agg(role, ' ' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id""")
