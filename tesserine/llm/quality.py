@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from .common import blobs, bounded_batches, held_out, quoted
 
 #: Byte pairs fold into so many terms; after them come terms of shape.
 PAIR_TERMS = 1024
-SHAPES, STEPS = 5, 12
+SHAPES, STEPS = 6, 12
 TERMS = PAIR_TERMS + SHAPES * STEPS
 #: Bytes looked at at once, so that a very long text needs no more memory.
 SLICE = 1 << 20
@@ -29,7 +30,7 @@ _PAIR = (np.arange(65536, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(
 
 
 def term_counts(data: bytes) -> np.ndarray:
-    """How often each term occurs in the whole text. A shape (length, shares of upper case, of other signs and of distinct words, mean word length) is one term by its step."""
+    """How often each term occurs in the whole text. A shape (length, shares of upper case, of other signs, of distinct words and of words that repeat the one before, mean word length) is one term by its step."""
     counts = np.zeros(TERMS, np.float32)
     kinds = np.zeros(4, np.int64)
     for start in range(0, len(data), SLICE):
@@ -39,7 +40,7 @@ def term_counts(data: bytes) -> np.ndarray:
         kinds += np.bincount(_CLASS[x[:SLICE]], minlength=4)
     words = data.split()
     n, letters = max(1, len(words)), max(1, int(kinds[2] + kinds[3]))
-    shapes = (np.log2(1 + len(data)) / 2, STEPS * kinds[2] / letters, STEPS * kinds[0] / max(1, len(data)) * 2, STEPS * len(set(words)) / n, len(data) / n)
+    shapes = (np.log2(1 + len(data)) / 2, STEPS * kinds[2] / letters, STEPS * kinds[0] / max(1, len(data)) * 2, STEPS * len(set(words)) / n, len(data) / n, 1.5 * STEPS * sum(map(eq, words, words[1:])) / n)
     for k, value in enumerate(shapes):
         counts[PAIR_TERMS + k * STEPS + int(min(STEPS - 1, value))] = 1
     return counts
@@ -84,7 +85,7 @@ def weighted(counts: np.ndarray, idf: np.ndarray, shape_weight: float) -> np.nda
     return np.concatenate([x, counts[:, PAIR_TERMS:] * shape_weight], axis=1).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 3, fold: int = 1, max_labelled: int = 4096, dimensions: int = 48, neighbours: int = 15, shape_weight: float = 0.35) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 3, fold: int = 1, max_labelled: int = 4096, dimensions: int = 48, neighbours: int = 15, shape_weight: float = 0.5) -> Model:
     """Fit on the labelled rows whose crc32(id as text) mod ``folds`` is not ``fold``.
 
     The sample is bounded: the ``max_labelled`` rows with the smallest hash of the id, alike at any size of the
