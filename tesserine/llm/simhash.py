@@ -233,7 +233,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = found.join(nodes, "node")
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     named = own.join(least, "root").select("node", "component_id")
-    classes = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    # a table of its own, so that the last join can split a fingerprint that many documents have
+    classes = stored(nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return prints.join(classes, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
