@@ -127,5 +127,5 @@ def cited_titles(references: DataFrame, papers: DataFrame, title: str = "title",
 
 def split_entries(c):
     """Numbered reference lists as an array of entries of over 15 signs."""
-    parts = F.split(c, r"(?:^|\n)\s*\[?\d{1,3}\]?[.)]\s+")
+    parts = F.split(c, r"(?:^|\n)\s*(?:\[\d{1,3}\][.)]?|\d{1,3}[.)])\s+")
     return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: F.length(p) > 15)

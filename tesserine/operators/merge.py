@@ -133,7 +133,7 @@ def institution_countries(authorship: DataFrame, known: DataFrame, industry: Dat
     placed = placed.join(F.broadcast(industry.select("institution", F.lit(True).alias("__i"))), "institution", "left")
     has = F.max(F.col("country").isNotNull()).over(Window.partitionBy("paper", "author"))
     added = F.when(~(F.coalesce("__i", F.lit(False)) & has), F.col("__k"))
-    both = placed.select("paper", F.explode(F.array("country", added)).alias("c")).where("c is not null")
+    both = placed.select("paper", F.array("country", added).alias("c")).select("paper", F.explode("c").alias("c")).where("c is not null")
     return both.groupBy("paper").agg(F.array_sort(F.collect_set("c")).alias("countries"))
 
 

@@ -111,7 +111,7 @@ def test_title_matching(spark, titles, raw, expected):
 def test_reference_lists_are_split(spark):
     raw = "[1] A first reference of some length.\n[2] A second one\nthat wraps over lines.\n3. short"
     got = spark.createDataFrame([(raw,)], "t string").select(matcher.split_entries(F.col("t")).alias("x")).first()["x"]
-    assert got == ["[1] A first reference of some length.", "A second one\nthat wraps over lines."] or got == ["A first reference of some length.", "A second one\nthat wraps over lines."]
+    assert got == ["A first reference of some length.", "A second one\nthat wraps over lines."]
 
 
 def test_journal_takes_over_in_any_order(spark):
@@ -131,7 +131,7 @@ def test_fold_and_first_seen(spark):
     rows = spark.createDataFrame([("v1", "2001.00001", None, False), ("v2", "2001.00001", "z", False), ("p1", "2001.00001", "from preprint", True), ("p2", "2002.00002", "own", True)], "key string, arxiv string, abstract string, preprint boolean")
     got = {r["key"]: r["abstract"] for r in merge.fold_by_id(rows, "arxiv", F.col("preprint"), "key", ["abstract"]).collect()}
     assert got == {"v1": "from preprint", "v2": "z", "p2": "own"}
-    index = spark.createDataFrame([("v1", None, "2020-01-02"), ("v1", None, "2020-01-01"), ("old", "2002.00002", "2019-05-05")], "key string, arxiv string, seen date")
+    index = spark.createDataFrame([("v1", None, "2020-01-02"), ("v1", None, "2020-01-01"), ("old", "2002.00002", "2019-05-05")], "key string, arxiv string, seen string").withColumn("seen", F.to_date("seen"))
     seen = {r["key"]: str(r["first_seen"]) for r in merge.first_seen(rows.select("key", "arxiv"), index, "key", "arxiv", "2024-01-01", "2000-01-01").collect()}
     assert seen == {"v1": "2020-01-01", "v2": "2024-01-01", "p1": "2024-01-01", "p2": "2019-05-05"}
     many = {str(r["first_seen"]) for r in merge.first_seen(rows.select("key", "arxiv"), index.limit(0), "key", "arxiv", "2024-01-01", "2000-01-01", 3).collect()}
@@ -284,4 +284,6 @@ def test_samples_do_not_depend_on_row_order(spark):
 
 
 def test_scratch_follows_the_session(spark):
-    assert scratch_path(spark, "x").startswith("file:///") or "://" in scratch_path(spark, "x")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert one != two and (not named or one.startswith(named.rstrip("/")))
