@@ -3,12 +3,13 @@ cluster's shared folder, and exact connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path, shared_folder, stored
+
+__all__ = ["blobs", "bounded_batches", "components", "held_out", "quoted", "scratch_path", "shared_folder", "stored", "texts"]
+
 #: Arrow rows handed to Python at once; whole texts travel, so the default of 10,000 is too many.
 BATCH_ROWS = 1000
 
@@ -35,27 +36,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = getattr(spark.sparkContext, "_tesserine_folder", None) or "file://" + tempfile.mkdtemp(prefix="tesserine-")
-        spark.sparkContext._tesserine_folder = named
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tesserine/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back. A lost executor costs no rework."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("error").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(id_col: Column, folds: int, fold: int = 1) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` when divided by ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold

@@ -6,18 +6,23 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
 
-#: Pieces that a worker remembers; over that it starts anew, so memory has a bound.
-REMEMBERED = 1_000_000
+#: Words and other pieces that a worker remembers; over that it starts anew, so memory has a bound.
+WORDS, PIECES = 1_000_000, 200_000
 #: Parts looked up at once.
 SLICE = 1 << 16
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: All but letters, digits, signs and white space whose class has never changed.
 RARE = re.compile("[^\t-\r -~\xa1-\u0220\u0222-\u0233\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0400-\u045f]")
+# Marks that no contraction begins with, and the byte-level alphabet: printing bytes stand for themselves, others for signs from 256 on.
+MARKS = ".,;:!?)(\"%&$#*|"
+_PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(b) for b in _PRINTING} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTING)))}
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -49,9 +54,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.split = self._splitter(path)
+        self.model = self.library.model
+        self.line_end = self._ids(["\n"])[0] if self.split else b""
 
     @staticmethod
     def _splitter(path: str):
@@ -65,22 +72,46 @@ class Encoder:
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, cuts: list[list[str]]) -> list[bytes]:
-        """The ids of pieces that the pattern has cut."""
-        pieces = self.pieces
-        if new := [p for p in dict.fromkeys(x for c in cuts for x in c) if p not in pieces]:
-            if len(self.parts) + len(pieces) > REMEMBERED:
-                self.parts.clear()
-                pieces.clear()
-                new = list(dict.fromkeys(x for c in cuts for x in c))
-            pieces.update(zip(new, self._ask(new), strict=True))
-        return [b"".join([pieces[x] for x in c]) for c in cuts]
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that the pattern has cut, by the library's model alone: what it does after pre-tokenising."""
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes() for p in pieces]
+
+    def _one(self, piece: str) -> bytes:
+        """The ids of one piece. A word behind a space is remembered without it, in the dictionary that parts are looked up in."""
+        table, key = (self.words, piece[1:]) if piece[0] == " " and piece[1:].isalpha() else (self.pieces, piece)
+        got = table.get(key)
+        if got is None:
+            got = self._ids([piece])[0]
+            if len(table) >= (WORDS if table is self.words else PIECES):
+                table.clear()
+            table[key] = got
+        return got
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join([self._one(p) for p in self.split(text)])
 
     def _whole(self, text: str) -> bytes:
-        if RARE.search(text):
-            return self._ask([text])[0]
-        cut = self.split(text)
-        return b"".join(self._joined([cut[k : k + SLICE]])[0] for k in range(0, len(cut), SLICE))
+        return self._ask([text])[0] if RARE.search(text) else self._cut(text)
+
+    def _part(self, part: str) -> bytes:
+        """A part behind its space: a word, with marks or a line end and a word behind it, needs no pattern."""
+        if part.isalpha() and not RARE.search(part):
+            return self._one(" " + part)
+        if RARE.search(part):
+            return self._ask([" " + part])[0]
+        out, space = [], " "
+        for line in part.split("\n"):
+            word = line.rstrip(MARKS)
+            if not word.isalpha():
+                return self._cut(" " + part)
+            if not space:
+                out.append(self._one("\n"))
+            out.append(self._one(space + word))
+            if len(word) < len(line):
+                out.append(self._one(line[len(word) :]))
+            space = ""
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if self.split is None:
@@ -89,28 +120,31 @@ class Encoder:
         if not parts[0]:
             return self._whole(text)
         out = [self._whole(parts.pop(0))]
+        word, piece, line_end = self.words.get, self.pieces.get, self.line_end
         for k in range(0, len(parts), SLICE):
             some = parts[k : k + SLICE]
-            ids = list(map(self.parts.get, some))
+            ids = list(map(word, some))
             if None in ids:
-                new = list(dict.fromkeys(p for p, x in zip(some, ids, strict=True) if x is None))
-                # a part that begins with white space is never remembered
-                if any(not p or p[0].isspace() for p in new):
-                    return self._whole(text)
-                learned = dict(zip(new, self._learn(new), strict=True))
-                ids = [learned[p] if x is None else x for p, x in zip(some, ids, strict=True)]
+                for i in [i for i, x in enumerate(ids) if x is None]:
+                    p = some[i]
+                    # most of what isn't known as a whole is a known word with marks or a line end behind it
+                    head, end, tail = p.partition("\n")
+                    bare = head.rstrip(MARKS)
+                    x, y = word(bare), piece(head[len(bare) :], b"" if len(bare) == len(head) else None)
+                    if x is not None and y is not None:
+                        if not end:
+                            ids[i] = x + y
+                            continue
+                        if tail.isalpha() and (z := piece(tail)) is not None:
+                            ids[i] = x + y + line_end + z
+                            continue
+                    # white space at the edge of a part may belong to that of its neighbour
+                    if not p or p[0].isspace():
+                        return self._whole(text)
+                    ids[i] = self._part(p)
             out += ids
         return b"".join(out)
 
-    def _learn(self, new: list[str]) -> list[bytes]:
-        """The ids of parts, their space in front."""
-        rare = [p for p in new if RARE.search(p)]
-        got = dict(zip(rare, self._ask([" " + p for p in rare]), strict=True)) if rare else {}
-        plain = [p for p in new if p not in got]
-        got.update(zip(plain, self._joined([self.split(" " + p) for p in plain]), strict=True))
-        self.parts.update(got)
-        return [got[p] for p in new]
-
     def with_end(self, text: str, end_id: int = 0) -> bytes:
         return self.encode(text) + end_id.to_bytes(4, "little")
 
@@ -127,8 +161,8 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else h(b"")
 
 
-_GEAR = (np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, 65537, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(29))
-WINDOW = 8
+_GEAR = ((np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+WINDOW = 4
 
 
 def chunk_ends(ids: np.ndarray, average: int = 512, least: int = 128, most: int = 2048) -> list[int]:
@@ -140,11 +174,11 @@ def chunk_ends(ids: np.ndarray, average: int = 512, least: int = 128, most: int
     if not len(ids):
         return []
     with np.errstate(over="ignore"):
-        g = _GEAR[ids & 0xFFFF] + (ids >> 16).astype(np.uint64)
+        g = _GEAR[ids & 0xFFFF] + (ids >> 16).astype(np.uint32)
         h = g.copy()
         for k in range(1, min(WINDOW, len(g))):
-            h[k:] += g[:-k] << np.uint64(k * 5)
-        cuts = np.flatnonzero((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (average.bit_length() - 1)) == 0) + 1
+            h[k:] += g[:-k] << np.uint32(k * 7)
+        cuts = np.flatnonzero((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - (average.bit_length() - 1)) == 0) + 1
     ends, start = [], 0
     for cut in [*cuts.tolist(), len(ids)]:
         while cut - start > most:
