@@ -18,7 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tesserine/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tesserine/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_tesserine_paths", []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -27,3 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this session's intermediate tables, once nothing that reads them is needed any more."""
+    context = spark.sparkContext
+    for path in context.__dict__.pop("_tesserine_paths", []):
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.operators import classify, dimension, filters, graph, matcher, merge, people, quality, rank, series
-from tesserine.scratch import scratch_path
+from tesserine.scratch import release, scratch_path, stored
 from tesserine.sources import listings, sinks
 from tesserine.streaming import intake
 
@@ -286,4 +286,8 @@ def test_samples_do_not_depend_on_row_order(spark):
 def test_scratch_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
+    table = stored(spark.range(3), "x")
+    release(spark)
+    with pytest.raises(Exception, match=r"(?i)exist|found"):
+        table.collect()
     assert one != two and (not named or one.startswith(named.rstrip("/")))
