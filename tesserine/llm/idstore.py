@@ -36,18 +36,19 @@ def _draft(docs: DataFrame, path: str, folder: str, narrow: bool) -> DataFrame:
         seen: set[bytes] = set()
         uri, out, frame, place = "", None, bytearray(), 0
         for b in batches:
-            rows = []
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            sizes, packs, keys, new, ends, new_ends = [], [], [], [], [0], [0]
+            for text in b.column("text").to_pylist():
                 ids = np.frombuffer(made.with_end(text), "<u4").astype(kind)
-                keys, new, start = [], [], 0
+                start = 0
                 for end in chunk_ends(ids):
                     data = ids[start:end].tobytes()
-                    keys.append(k := chunk_key(data))
+                    k = chunk_key(data)
+                    keys.append(k)
                     if k not in seen:
                         seen.add(k)
                         if out is None:
                             uri, out = write_file(folder, ".draft")
-                        new.append({"key": k, "place": place, "n": end - start})
+                        new.append((k, place, end - start))
                         place += 1
                         frame += data
                         if len(frame) >= FRAME:
@@ -55,15 +56,19 @@ def _draft(docs: DataFrame, path: str, folder: str, narrow: bool) -> DataFrame:
                             out.write(len(packed).to_bytes(4, "little") + packed)
                             frame.clear()
                     start = end
-                rows.append({"doc_id": key, "n_ids": len(ids), "keys": keys, "pack": uri, "new": new})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                sizes.append(len(ids))
+                packs.append(uri)
+                ends.append(len(keys))
+                new_ends.append(len(new))
+            fresh = pa.StructArray.from_arrays([pa.array([x[j] for x in new], t) for j, t in enumerate((pa.binary(), pa.int32(), pa.int32()))], ["key", "place", "n"])
+            columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.binary())), pa.array(packs, pa.string()), pa.ListArray.from_arrays(pa.array(new_ends, pa.int32()), fresh)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "keys", "pack", "new"])
         if out is not None:
             if frame:
                 packed = squeeze.compress(bytes(frame))
                 out.write(len(packed).to_bytes(4, "little") + packed)
             out.close()
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.binary())), ("pack", pa.string()), ("new", pa.list_(pa.struct([("key", pa.binary()), ("place", pa.int32()), ("n", pa.int32())])))])
     return docs.mapInArrow(run, "doc_id long, n_ids long, keys array<binary>, pack string, new array<struct<key: binary, place: int, n: int>>")
 
 
@@ -139,20 +144,20 @@ def read_ids(manifest: DataFrame, index: DataFrame, narrow: bool = False) -> Dat
     def run(batches):
         reader = Ranges()
         for b in batches:
-            out = []
-            for root, chunks in zip(b.column("root").to_pylist(), b.column("chunks").to_pylist(), strict=True):
-                crc = n = 0
-                keys = []
-                for c in chunks:
-                    data = reader.read(c["pack"], c["offset"], c["n"] * width)
-                    if chunk_key(data) != c["key"]:
-                        raise ValueError(f"chunk {c['key'].hex()} of {c['pack']} is damaged")
-                    keys.append(c["key"])
-                    crc = zlib.crc32(np.frombuffer(data, kind).astype("<u4").tobytes(), crc)
-                    n += c["n"]
-                if merkle_root(keys) != root:
+            out, lists = [], b.column("chunks")
+            ends, parts = lists.offsets.to_pylist(), lists.values
+            keys, packs, offsets, sizes = (parts.field(c).to_pylist() for c in ("key", "pack", "offset", "n"))
+            for root, i, j in zip(b.column("root").to_pylist(), ends, ends[1:], strict=False):
+                whole = []
+                for k in range(i, j):
+                    data = reader.read(packs[k], offsets[k], sizes[k] * width)
+                    if chunk_key(data) != keys[k]:
+                        raise ValueError(f"chunk {keys[k].hex()} of {packs[k]} is damaged")
+                    whole.append(data)
+                if merkle_root(keys[i:j]) != root:
                     raise ValueError(f"the recipe of root {root.hex()} can't be rebuilt")
-                out.append((root, n, crc))
+                ids = np.frombuffer(b"".join(whole), kind)
+                out.append((root, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
             kinds = (pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["root", "n_tokens", "ids_crc32"])
         reader.close()

@@ -88,6 +88,20 @@ class Encoder:
             table[key] = got
         return got
 
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a new word behind a space; None if its letters are rare."""
+        if word.isascii():
+            signs = "\u0120" + word
+        elif RARE.search(word):
+            return None
+        else:
+            signs = (" " + word).encode().decode("latin-1").translate(BYTE_SIGNS)
+        got = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        if len(self.words) >= WORDS:
+            self.words.clear()
+        self.words[word] = got
+        return got
+
     def _cut(self, text: str) -> bytes:
         return b"".join([self._one(p) for p in self.split(text)])
 
@@ -130,13 +144,17 @@ class Encoder:
                     # most of what isn't known as a whole is a known word with marks or a line end behind it
                     head, end, tail = p.partition("\n")
                     bare = head.rstrip(MARKS)
-                    x, y = word(bare), piece(head[len(bare) :], b"" if len(bare) == len(head) else None)
-                    if x is not None and y is not None:
+                    x = word(bare)
+                    if x is None and bare.isalpha():
+                        x = self._word(bare)
+                    if x is not None:
+                        if len(bare) < len(head):
+                            x += piece(head[len(bare) :]) or self._one(head[len(bare) :])
                         if not end:
-                            ids[i] = x + y
+                            ids[i] = x
                             continue
                         if tail.isalpha() and (z := piece(tail)) is not None:
-                            ids[i] = x + y + line_end + z
+                            ids[i] = x + line_end + z
                             continue
                     # white space at the edge of a part may belong to that of its neighbour
                     if not p or p[0].isspace():
