@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from .tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
 #: Documents whose rests are divided together: enough to balance well, few enough that each group is quick.
-GROUP = 400
+GROUP = 800
 #: A rest is cut into pieces of at most this share of a window: differencing levels several small pieces far better than two large ones.
 GRAINS = 4
 
@@ -25,25 +26,28 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
 
     Each size begins as a partial partition with one filled window. The two partitions with the largest imbalance
     (largest minus smallest window) merge, the fullest windows of one with the emptiest of the other, until one is left.
-    A partition holds its filled windows only, in falling order, the others being empty.
+    A partition holds its filled windows only, in rising order of their sums, the others being empty.
     """
-    heap = [(-s, k, [(s, [k])]) for k, s in enumerate(sizes)]
+    heap = [(-size, k, [(size, [k])]) for k, size in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        x, y = a[2], b[2]
+        (_, at, x), (_, other, y) = heapq.heappop(heap), heapq.heappop(heap)
         over = len(x) + len(y) - windows
-        if over <= 0:
-            merged = x + y
+        if len(y) == 1 and over <= 1:
+            # the usual case: one more window, or one more piece in the emptiest
+            if over == 1:
+                low, own = x.pop(0)
+                y = [(low + y[0][0], own + y[0][1])]
+            insort(x, y[0])
+        elif over <= 0:
+            x = sorted(x + y)
         else:
-            # of the windows that both fill, x's smallest meet y's largest
-            keep_x, meet_x = x[: len(x) - over], x[len(x) - over :]
-            keep_y, meet_y = y[over:], y[:over]
-            merged = keep_x + keep_y + [(s + t, p + q) for (s, p), (t, q) in zip(reversed(meet_x), meet_y, strict=True)]
-        merged.sort(key=lambda w: -w[0])
-        low = merged[-1][0] if len(merged) == windows else 0
-        heapq.heappush(heap, (low - merged[0][0], min(a[1], b[1]), merged))
-    return [p for _, p in heap[0][2]] if heap else []
+            # of the windows that both fill, x's emptiest meet y's fullest
+            meet = [(s + t, p + q) for (s, p), (t, q) in zip(x[:over], reversed(y[len(y) - over :]), strict=True)]
+            x = sorted(x[over:] + y[: len(y) - over] + meet)
+        low = x[0][0] if len(x) == windows else 0
+        heapq.heappush(heap, (low - x[-1][0], min(at, other), x))
+    return [own for _, own in heap[0][2]] if heap else []
 
 
 def pack_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
