@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import blobs, bounded_batches, held_out, stored
 
-#: Tokens that one pass of the recursions holds, and tokens gathered before texts are sorted by length.
-PASS, GATHER = 300_000, 2_000_000
+#: Tokens that one pass of the recursions holds, and tokens gathered before texts are sorted by length: many long texts side by side make few steps.
+PASS, GATHER = 1_500_000, 8_000_000
 
 
 @dataclass
@@ -34,8 +33,9 @@ class Shape:
     def end(self) -> int:
         return self.own + self.endings
 
-    def ending(self, word: bytes) -> int:
-        return self.own + zlib.crc32(word[-3:]) % self.endings
+    def ending_column(self, word: Column) -> Column:
+        """Which of the endings a word (binary) has."""
+        return F.pmod(F.crc32(F.substring(word, -3, 3)), F.lit(self.endings)).cast("int")
 
 
 @dataclass
@@ -60,59 +60,58 @@ class Model:
 
 
 def _steps(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of texts, longest first: their places, lengths, and symbols by step (steps x texts, 0 after the end)."""
+    """Groups of texts, longest first: their places, how many are still running at each step, and their symbols step by step, without padding."""
     lengths = np.array([len(x) for x in texts])
     order = np.argsort(-lengths, kind="stable")
-    at = 0
-    while at < len(order):
-        n = max(1, min(2048, PASS // max(1, int(lengths[order[at]]))))
-        own = order[at : at + n]
-        grid = np.zeros((len(own), lengths[own[0]]), np.int32)
+    group = np.cumsum(lengths[order]) // PASS
+    for own in np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else []:
+        size = lengths[own]
+        active = np.searchsorted(-size, -np.arange(size[0]), side="left")
+        starts = np.concatenate([[0], np.cumsum(active)[:-1]])
+        flat = np.empty(size.sum(), np.int32)
         for k, x in enumerate(own):
-            grid[k, : lengths[x]] = texts[x]
-        yield own, lengths[own], np.ascontiguousarray(grid.T)
-        at += n
+            flat[starts[: size[k]] + k] = texts[x]
+        yield own, active, flat
 
 
-def forward(model: Model, lengths: np.ndarray, grid: np.ndarray, keep: bool = False):
-    """The natural log likelihood of each text. Each step's vector is scaled to sum 1; the logs of the scales add up. ``keep``: the steps as well."""
-    active = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")
-    likelihood = np.zeros(len(lengths))
-    kept = []
-    a = None
-    for t, n in enumerate(active.tolist()):
-        e = model.emit[grid[t, :n]]
-        a = (model.start if a is None else a[:n] @ model.move) * e
+def forward(model: Model, active: np.ndarray, flat: np.ndarray, keep: bool = False):
+    """The natural log likelihood of each text. Each step's vector is scaled to sum 1; the logs of the scales add up. ``keep``: the vectors and scales as well."""
+    likelihood = np.zeros(active[0])
+    kept, a, at = [], None, 0
+    for n in active.tolist():
+        a = (model.start if a is None else a[:n] @ model.move) * model.emit[flat[at : at + n]]
         scale = a.sum(1)
         a /= scale[:, None]
         likelihood[:n] += np.log(scale)
+        at += n
         if keep:
-            kept.append((a, e, scale))
-    return (likelihood, kept, active) if keep else likelihood
+            kept.append((a, scale))
+    return (likelihood, kept) if keep else likelihood
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Of starts, moves and emissions, summed over texts, and the log likelihood."""
+    """Of starts, moves and emissions, summed over texts, and the log likelihood. The vectors are of 32 bits, sums of 64."""
     s, symbols = len(model.start), len(model.emit)
+    short = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
     start, move, emit, total = np.zeros(s), np.zeros((s, s)), np.zeros((symbols, s)), 0.0
-    for _, lengths, grid in _steps(texts):
-        likelihood, kept, active = forward(model, lengths, grid, keep=True)
+    for _, active, flat in _steps(texts):
+        likelihood, kept = forward(short, active, flat, keep=True)
         total += likelihood.sum()
-        gammas, seen = [], []
-        beta = np.ones((0, s))
-        for t in range(len(grid) - 1, -1, -1):
-            a, e, scale = kept[t]
-            n = int(active[t])
+        gamma = np.empty((len(flat), s), np.float32)
+        beta, at = np.ones((0, s), np.float32), len(flat)
+        back = np.ascontiguousarray(short.move.T)
+        for t in range(len(active) - 1, -1, -1):
+            (a, scale), n = kept[t], int(active[t])
+            at -= n
             if len(beta) < n:
-                beta = np.concatenate([beta, np.ones((n - len(beta), s))])
-            gammas.append(a * beta)
-            seen.append(grid[t, :n])
+                beta = np.concatenate([beta, np.ones((n - len(beta), s), np.float32)])
+            np.multiply(a, beta, out=gamma[at : at + n])
             if t:
-                ahead = e * beta / scale[:, None]
+                ahead = short.emit[flat[at : at + n]] * beta
+                ahead /= scale[:, None]
                 move += kept[t - 1][0][:n].T @ ahead
-                beta = ahead @ model.move.T
-        start += gammas[-1].sum(0)
-        gamma, flat = np.concatenate(gammas), np.concatenate(seen)
+                beta = ahead @ back
+        start += gamma[: active[0]].sum(0, dtype=np.float64)
         for k in range(s):
             emit[:, k] += np.bincount(flat, gamma[:, k], minlength=symbols)
     return start, move * model.move, emit, total
@@ -148,7 +147,7 @@ def _symbolised(rows: DataFrame, counts: DataFrame, blocks: int, shape: Shape, o
     log10(c + 0.5)), within (of log10 of the words' shares in their symbols), symbols (16-bit integers).
     """
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("data")), F.lit(blocks)).cast("int"))
-    shipped = rows.sparkSession.sparkContext.broadcast((own, np.log10(mass)))
+    shipped = rows.sparkSession.sparkContext.broadcast(np.log10(mass))
 
     def ask(t: pa.Table) -> pa.Table:
         words: set[bytes] = set()
@@ -157,13 +156,10 @@ def _symbolised(rows: DataFrame, counts: DataFrame, blocks: int, shape: Shape, o
         return pa.table([pa.array([t.column("block")[0].as_py()] * len(words), pa.int32()), pa.array(list(words), pa.binary())], ["block", "word"])
 
     def answer(t: pa.Table, met: pa.Table) -> pa.Table:
-        ranks, log_mass = shipped.value
-        words = met.column("word").to_pylist()
-        place = {w: k for k, w in enumerate(words)}
-        c = met.column("c").fill_null(0).to_numpy()
+        place = {w: k for k, w in enumerate(met.column("word").to_pylist())}
+        c, symbol = met.column("c").to_numpy(), met.column("symbol").to_numpy()
         log_c = np.log10(c + 0.5)
-        symbol = np.array([ranks[w] if w in ranks else shape.ending(w) for w in words], np.int64)
-        within = np.where(symbol < shape.own, 0.0, log_c - log_mass[np.maximum(symbol - shape.own, 0)]) if len(words) else np.zeros(0)
+        within = np.where(symbol < shape.own, 0.0, log_c - shipped.value[np.maximum(symbol - shape.own, 0)])
         out = []
         for data in t.column("data"):
             w = data.as_py().lower().split()
@@ -173,7 +169,9 @@ def _symbolised(rows: DataFrame, counts: DataFrame, blocks: int, shape: Shape, o
         return pa.table([t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "within", "symbols"])
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, word binary")
-    met = asked.join(counts, "word", "left").select("block", "word", "c")
+    rank = F.broadcast(rows.sparkSession.createDataFrame([(bytearray(w), k) for w, k in own.items()], "word binary, rank int"))
+    symbol = F.coalesce("rank", F.lit(shape.own) + shape.ending_column(F.col("word")))
+    met = asked.join(counts, "word", "left").join(rank, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"), symbol.cast("int").alias("symbol"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, within double, symbols binary"
     return dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(answer, schema)
 
@@ -246,10 +244,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     frequent = counts.where(F.length("word") <= 64).orderBy(F.desc("c"), "word").limit(own_words)
     top = [(bytes(r["word"]), r["c"]) for r in frequent.collect()]
-    ending: Column = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(endings)).cast("int")
-    others = counts.join(F.broadcast(spark.createDataFrame([(w,) for w, _ in top], "word binary")), "word", "left_anti")
+    others = counts.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w, _ in top], "word binary")), "word", "left_anti")
     mass = np.full(endings, 0.5)
-    for r in others.groupBy(ending.alias("e")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
+    for r in others.groupBy(shape.ending_column(F.col("word")).alias("e")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
         mass[r["e"]] += r["m"]
     frequency = np.concatenate([np.pad(np.array([c for _, c in top], float), (0, own_words - len(top))), mass, [ends]])
 
@@ -260,8 +257,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def score(batches):
         for t, symbols in _gathered(batches, "symbols"):
             likelihood = np.zeros(len(symbols))
-            for own, lengths, grid in _steps(symbols):
-                likelihood[own] = forward(model.value, lengths, grid)
+            for own, active, flat in _steps(symbols):
+                likelihood[own] = forward(model.value, active, flat)
             scored = likelihood / np.log(10) + t.column("within").to_numpy()
             base = t.column("log_counts").to_numpy() - t.column("n_tokens").to_numpy() * per_token
             whole = pa.table([*(t.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(symbols), n, np.int64)), pa.array(base), pa.array(scored)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
