@@ -149,19 +149,58 @@ class Forest:
         self.up[max(x, y)] = min(x, y)
 
 
+#: Members from which a component of a shard has a tree of its own.
+LARGE = 16
+
+
 def shard_links(fps: np.ndarray, radius: int, sketches: list[bytes] | None, least_equal: int) -> Forest:
-    """The components of one shard. Its tree is built value by value, each value first searching the tree of those before."""
-    tree, forest = BKTree(), Forest(len(fps))
+    """The components of one shard. Values come one by one, each first searching the trees of those before.
+
+    A component of LARGE members gets a tree of its own, in which a search ends at the first link, as one link joins a
+    value to all of it: a large group of near copies costs a few comparisons a copy. All other values are in a common tree, of which
+    every link counts. So each link between components is found.
+    """
+    common, forest = BKTree(), Forest(len(fps))
+    inside: list[int] = []
+    large: list[tuple[BKTree, list[int]]] = []
+    members: dict[int, list[int]] = {}
     values = fps.view(np.uint64).tolist()
     minima = None if sketches is None else np.array([np.frombuffer(x, "<u4") for x in sketches])
+
+    def similar(j: int, k: int) -> bool:
+        return minima is None or int((minima[j] == minima[k]).sum()) >= least_equal
+
     for k, v in enumerate(values):
-        near = list(tree.within(v, radius))
+        home = None
+        for tree, own in large:
+            hit = next((own[p] for p in tree.within(v, radius) if similar(own[p], k)), None)
+            if hit is not None:
+                forest.join(hit, k)
+                home = home or (tree, own)
+        near = [inside[p] for p in common.within(v, radius)]
         if near and minima is not None:
             equal = (minima[near] == minima[k]).sum(1)
             near = [x for x, e in zip(near, equal.tolist(), strict=True) if e >= least_equal]
+        if home is not None:
+            for x in near:
+                forest.join(x, k)
+            home[0].add(v)
+            home[1].append(k)
+            continue
+        joined = [k]
+        for top in {forest.top(x) for x in near}:
+            joined += members.pop(top, [])
         for x in near:
             forest.join(x, k)
-        tree.add(v)
+        common.add(v)
+        inside.append(k)
+        if len(joined) < LARGE:
+            members[forest.top(k)] = joined
+        else:
+            tree = BKTree()
+            for x in joined:
+                tree.add(values[x])
+            large.append((tree, joined))
     return forest
 
 
@@ -197,11 +236,12 @@ def _linked(rows: DataFrame, radius: int, sketched: bool, least_equal: int) -> D
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 12, similarity: float | None = 0.8, bands: int = 16, rows: int = 5) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 16, similarity: float | None = 0.8, bands: int = 16, rows: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links).
 
     Two texts link if their fingerprints differ in at most ``radius`` bits and, where ``similarity`` is given,
-    if the min-hash sketches of their shingles estimate at least that Jaccard similarity.
+    if the min-hash sketches of their shingles agree as pairs of that Jaccard similarity do in 39 of 40 cases: at 0.8, in 57 of 80
+    places. Shingles of similarity 0.8 put fingerprints 10 bits apart, over 16 in 1 of 100 cases.
 
     Without ``similarity`` the linking is exact: fingerprints are dealt to shards by key_masks, so each pair within
     the radius meets in a shard. With it, shards are the bands of the sketch (see Sketch), since a radius of a
@@ -227,7 +267,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         dealt = values.select(band.alias("k"), "node").select("k.*", "node")
         shared = dealt.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         shards = dealt.join(shared, ["k1", "k2"]).join(values, "node").select("k1", "k2", "node", "fp", "sketch")
-        needed = int(np.ceil(round(similarity * bands * rows, 6)))
+        places = bands * rows
+        needed = int(np.ceil(similarity * places - 2 * np.sqrt(similarity * (1 - similarity) * places)))
     edges = _linked(shards.repartition("k1", "k2").sortWithinPartitions("k1", "k2"), radius, similarity is not None, needed)
     found = components(edges)
     own = found.join(nodes, "node")

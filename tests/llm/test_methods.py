@@ -60,6 +60,22 @@ def test_key_masks_lose_no_pair():
         assert any(not flipped & m for m in masks)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_shards_lose_no_link(seed):
+    draw = random.Random(seed)
+    centres = [draw.getrandbits(64) for _ in range(4)]
+    values = [draw.choice(centres) ^ sum(1 << draw.randrange(64) for _ in range(draw.choice((1, 2, 3, 5, 9)))) for _ in range(300)] + [draw.getrandbits(64) for _ in range(50)]
+    values = [v & (1 << 64) - 1 for v in values]
+    draw.shuffle(values)
+    for radius in (2, 5):
+        forest = simhash.shard_links(np.array(values, np.uint64).view(np.int64), radius, None, 0)
+        brute = simhash.Forest(len(values))
+        for i, j in itertools.combinations(range(len(values)), 2):
+            if (values[i] ^ values[j]).bit_count() <= radius:
+                brute.join(i, j)
+        assert [forest.top(k) for k in range(len(values))] == [brute.top(k) for k in range(len(values))]
+
+
 def test_groups_equal_brute_force(spark):
     draw = random.Random(11)
     base = [" ".join(draw.choice("alpha beta gamma delta epsilon zeta eta theta iota".split()) + str(draw.randrange(40)) for _ in range(60)) for _ in range(40)]
