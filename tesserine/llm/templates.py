@@ -41,13 +41,6 @@ def line_id(tokens: list[bytes]) -> bytes:
     return xxh3_128_digest(b" ".join(tokens))
 
 
-def sketch(text: bytes) -> int:
-    """The smallest hash of a text's words: equal for most copies of a document, also with changes, and seldom for others."""
-    from xxhash import xxh64_intdigest
-
-    return min(map(xxh64_intdigest, set(text.split())), default=0) >> 1
-
-
 class Leaf:
     """The templates below one leaf: token hashes, 0 for a generalised field."""
 
@@ -108,9 +101,9 @@ def _bucket(leaf_col: str) -> Column:
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, depth: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, templates): doc_id and line of each line below a leaf that may recur; line, template and support."""
+    """(occurrences, templates): doc_id, line and text hash of each line below a leaf that may recur; line, template and support."""
     spark = docs.sparkSession
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).cast("binary").alias("data"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).cast("binary").alias("data")).withColumn("text_hash", F.unhex(F.md5("data")))
     busy = stored(_leaf_counts(rows, depth).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     bits = np.zeros(1 << BUCKET_BITS, np.uint8)
     for r in busy.select(_bucket("leaf").alias("b")).distinct().collect():
@@ -122,17 +115,15 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
         last = (1 << BUCKET_BITS) - 1
         for b in batches:
             out = []
-            for key, data in zip(b.column("doc_id").to_pylist(), b.column("data").to_pylist(), strict=True):
-                own = [(at, tokens) for at, tokens in _lines(data, depth) if may[at & last]]
-                if own:
-                    k = sketch(data)
-                    out += [(key, at, line_id(tokens), k, b" ".join(tokens)) for at, tokens in own]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            for key, data, h in zip(b.column("doc_id").to_pylist(), b.column("data").to_pylist(), b.column("text_hash").to_pylist(), strict=True):
+                own = {line_id(tokens): (at, tokens) for at, tokens in _lines(data, depth) if may[at & last]}
+                out += [(key, at, line, h, b" ".join(tokens)) for line, (at, tokens) in own.items()]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             for start in range(0, max(1, len(out)), 20_000):
                 part = out[start : start + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate(kinds)], ["doc_id", "leaf", "line", "sketch", "masked"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate(kinds)], ["doc_id", "leaf", "line", "text_hash", "masked"])
 
-    found = stored(rows.mapInArrow(find, "doc_id long, leaf long, line binary, sketch long, masked binary").join(busy, "leaf", "left_semi"), "lines")
+    found = stored(rows.mapInArrow(find, "doc_id long, leaf long, line binary, text_hash binary, masked binary").join(busy, "leaf", "left_semi"), "lines")
     lines = found.groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
 
     def cluster(batches):
@@ -150,11 +141,9 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
             out.clear()
 
     tree = stored(lines.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(cluster, "line binary, leaf long, place long"), "templates")
-    copies = found.groupBy("line", "sketch").agg(F.count(F.lit(1)).alias("n"))
-    sets = copies.join(tree, "line").groupBy("leaf", "place", "sketch").agg(F.sum("n").alias("n"))
-    support = sets.groupBy("leaf", "place").agg(F.count(F.lit(1)).alias("sketches"), F.max("n").alias("largest"))
-    support = support.withColumn("support", F.col("sketches") - F.floor(F.col("largest") / 5)).where(F.col("support") >= min_docs)
-    return found, tree.join(support.select("leaf", "place", "support"), ["leaf", "place"])
+    holders = found.select("line", "text_hash").distinct().join(tree, "line").select("leaf", "place", "text_hash").distinct()
+    support = holders.groupBy("leaf", "place").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_docs)
+    return found, tree.join(support, ["leaf", "place"])
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, depth: int = 4, similarity: float = 0.8, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -162,9 +151,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Lines are parsed by a tree of fixed depth: token count, then ``depth`` leading tokens, tokens with digits being variable fields. Below a leaf,
     distinct lines in the order of their hash join the template that equals them in ``similarity`` of the tokens. A template recurs
-    if its support is ``min_docs`` at least: the number of different documents with such a line, where documents that are
-    copies of one another, also with changes, count once. Copies are told by their sketch; a fifth of the largest set of equal sketches is taken off, for
-    the copies whose sketch a change has hit. So a document that has many copies keeps its text, and its copies are left to near-deduplication.
+    if its support is ``min_docs`` at least: the number of different documents with such a line, where equal texts count once
+    and a document counts once for all of its lines. Nothing is taken off, so further documents never lower a support.
 
     Blank lines stay. Null texts stay null and empty ones empty; a text whose lines all go becomes empty, and its row stays. Rows repeated
     count once, being copies. ``counts`` names two more columns: lines, and lines dropped. An empty table gives no rows.

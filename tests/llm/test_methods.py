@@ -337,3 +337,28 @@ def test_archives_with_long_records_and_without_index(spark, tmp_path):
         z.writestr("archive/b.warc", b"".join(plain))
     got = wacz.read_archives(spark.createDataFrame([(f"file://{path}",)], "uri string")).collect()
     assert [(r["page_id"], bytes(r["payload"])) for r in got] == [(k, b"body %d" % k) for k in range(3)] * 2
+
+
+def _prose(draw, n=60):
+    return " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+
+
+def test_copies_and_long_documents_take_nothing_off_a_support(spark):
+    draw = random.Random(21)
+    shared, section = "all rights are reserved by the owner of this page", "Section <n> of the long manual"
+    texts = [f"{_prose(draw)}\n{shared}\nSection {k} of the long manual" for k in range(12)]
+    texts.append("\n".join([_prose(draw)] + [f"Section {k} of the long manual" for k in range(500)]))
+    texts += [texts[0]] * 300
+    # lines that only the copies of one document hold stay
+    texts += ["\n".join(["only here " + _prose(draw, 20)] * 2 + [_prose(draw)])] * 40
+    got = templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        lines = [x for x in texts[r["doc_id"]].split("\n") if x != shared and not x.startswith(section[:8])]
+        assert r["text"].split("\n") == lines
+
+
+def test_one_documents_lines_are_one_document(spark):
+    draw = random.Random(22)
+    texts = [_prose(draw) + "\n" + "\n".join(f"Row {j} of table {k}" for j in range(400)) for k in range(7)]
+    got = templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(texts))
