@@ -362,3 +362,28 @@ def test_one_documents_lines_are_one_document(spark):
     texts = [_prose(draw) + "\n" + "\n".join(f"Row {j} of table {k}" for j in range(400)) for k in range(7)]
     got = templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(texts))
+
+
+def test_links_are_checked_by_the_whole_shingle_sets(spark):
+    """Sketches of pairs of similarity 0.7 to 0.8 agree as those above 0.8 often do; only pairs above link."""
+    draw = random.Random(31)
+    rows = []
+    for k in range(60):
+        words = [f"w{draw.randrange(3000)}" for _ in range(240)]
+        rows.append((k, " ".join(words)))
+        for j, edits in enumerate((4, 8, 9)):
+            copy = list(words)
+            for at in draw.sample(range(10, 230, 12), edits):
+                copy[at] = f"edit{k}{j}{at}"
+            rows.append((100 + 3 * k + j, " ".join(copy)))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for _, t in rows]
+    forest, below = simhash.Forest(len(rows)), 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        same = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        below += 0.7 <= same < 0.8
+        if same >= 0.8:
+            forest.join(i, j)
+    assert below > 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.simhash_dedup(docs).collect()}
+    assert kept == {rows[k][0] for k in range(len(rows)) if forest.top(k) == k}
