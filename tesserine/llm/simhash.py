@@ -264,15 +264,35 @@ def _linked(rows: DataFrame, radius: int, sketched: bool, least_equal: int, exac
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar(docs: DataFrame, words: int, radius: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def _chosen(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """hashed: text_hash, data and more. The rows in the hash buckets of the text_hash of ``wanted``, found without a shuffle: all wanted ones, few others."""
+    bucket = F.xxhash64("text_hash").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("__bucket__")
+    bits = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for r in wanted.select(bucket).distinct().collect():
+        bits[r["__bucket__"]] = 1
+    shipped = hashed.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    names = hashed.columns
+
+    def run(batches):
+        may = np.unpackbits(np.frombuffer(shipped.value, np.uint8)).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(may[b.column("__bucket__").to_numpy()])).select(names)
+
+    return hashed.select(*names, bucket).mapInArrow(run, hashed.schema)
+
+
+def _similar(docs: DataFrame, words: int, radius: int, similarity: float, bands: int, rows: int, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id and data. (prints, edges): doc_id, text_hash, fp and node of each row; the links of nodes whose Jaccard similarity is confirmed.
 
     Sketches and fingerprints only search: their links give loose components. The texts of those, one a node, meet in
     a second pass, a component a task, and a link holds there if the whole shingle sets have the similarity.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     hashed = docs.withColumn("text_hash", F.unhex(F.md5("data")))
-    prints = _prints(hashed, words, (bands, rows), ("doc_id", "text_hash"))
+    if only is None:
+        prints = _prints(hashed, words, (bands, rows), ("doc_id", "text_hash"))
+    else:
+        prints = _prints(_chosen(hashed, only), words, (bands, rows), ("doc_id", "text_hash")).join(only, "text_hash", "left_semi")
     prints = stored(prints.withColumn("node", F.xxhash64("fp", "sketch")), "simhash")
     values = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("text_hash").alias("text_hash"))
     values = stored(values, "values")
@@ -284,19 +304,7 @@ def _similar(docs: DataFrame, words: int, radius: int, similarity: float, bands:
     needed = int(np.ceil(similarity * places - 3 * np.sqrt(similarity * (1 - similarity) * places)))
     loose = components(_linked(shards.repartition("k1", "k2").sortWithinPartitions("k1", "k2"), radius, True, needed))
     wanted = stored(values.join(loose, "node"), "loose")
-    # texts outside the hash buckets of these never move
-    bucket = F.xxhash64("text_hash").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("b")
-    bits = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for r in wanted.select(bucket).distinct().collect():
-        bits[r["b"]] = 1
-    shipped = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-
-    def chosen(batches):
-        may = np.unpackbits(np.frombuffer(shipped.value, np.uint8)).astype(bool)
-        for b in batches:
-            yield b.filter(pa.array(may[b.column("b").to_numpy()])).select(["text_hash", "data"])
-
-    texts = hashed.select("text_hash", "data", bucket).mapInArrow(chosen, "text_hash binary, data binary").groupBy("text_hash").agg(F.first("data").alias("data"))
+    texts = _chosen(hashed.select("text_hash", "data"), wanted).groupBy("text_hash").agg(F.first("data").alias("data"))
     near = wanted.join(texts, "text_hash").select(F.col("root").alias("k1"), F.lit(0).alias("k2"), "node", "fp", "sketch", "data")
     edges = _linked(near.repartition("k1").sortWithinPartitions("k1", "node"), radius, True, needed, (words, similarity))
     return prints, edges
@@ -311,9 +319,12 @@ def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(own.join(least, "class").select("node", "class", "component_id"), "classes")
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 16, similarity: float = 0.8, bands: int = 16, rows: int = 5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, text_hash (MD5 of the text, null being empty), class and component_id, linked as ``simhash_groups`` says."""
-    prints, edges = _similar(blobs(docs, id_col, text_col), words, radius, similarity, bands, rows)
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 16, similarity: float = 0.8, bands: int = 16, rows: int = 5, only: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, text_hash (MD5 of the text, null being empty), class and component_id, linked as ``simhash_groups`` says.
+
+    ``only`` has the text_hash of the texts that take part, once each; there are no rows for others.
+    """
+    prints, edges = _similar(blobs(docs, id_col, text_col), words, radius, similarity, bands, rows, only)
     return prints.join(_classes(prints, edges), "node").select("doc_id", "fp", "text_hash", "class", "component_id")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_batches, quoted, stored
+from .simhash import copy_groups
 
 KEY = "__tesserine_id__"
 #: Bits of the bucket set that tells which leaves may recur: the most that is ever broadcast is this over 8 bytes.
@@ -141,9 +142,15 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
             out.clear()
 
     tree = stored(lines.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(cluster, "line binary, leaf long, place long"), "templates")
-    holders = found.select("line", "text_hash").distinct().join(tree, "line").select("leaf", "place", "text_hash").distinct()
-    support = holders.groupBy("leaf", "place").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_docs)
-    return found, tree.join(support, ["leaf", "place"])
+    holders = stored(found.select("line", "text_hash").distinct().join(tree, "line").select("leaf", "place", "text_hash").distinct(), "holders")
+
+    def supported(rows: DataFrame, who: str) -> DataFrame:
+        return rows.groupBy("leaf", "place").agg(F.countDistinct(who).alias("support")).where(F.col("support") >= min_docs)
+
+    # copy groups are no more than texts, so only holders of templates with enough texts are grouped
+    able = stored(holders.join(supported(holders, "text_hash").drop("support"), ["leaf", "place"], "left_semi"), "holders")
+    groups = copy_groups(rows, "doc_id", "data", only=able.select("text_hash").distinct()).select("text_hash", "class").distinct()
+    return found, tree.join(supported(able.join(groups, "text_hash"), "class"), ["leaf", "place"])
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, depth: int = 4, similarity: float = 0.8, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -151,8 +158,10 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Lines are parsed by a tree of fixed depth: token count, then ``depth`` leading tokens, tokens with digits being variable fields. Below a leaf,
     distinct lines in the order of their hash join the template that equals them in ``similarity`` of the tokens. A template recurs
-    if its support is ``min_docs`` at least: the number of different documents with such a line, where equal texts count once
-    and a document counts once for all of its lines. Nothing is taken off, so further documents never lower a support.
+    if its support is ``min_docs`` at least: the number of different documents with such a line, where a document counts once for all of its lines
+    and a group of copies counts once: equal texts, and near copies as the near-duplicate stage links them (a Jaccard similarity of 0.8 of whole sets of
+    five-word shingles), among the documents with a template that many texts have. Nothing is taken off; a further document can only lower a support if
+    it makes one copy group of two. So a document that has many copies keeps its text, and its copies are left to near-deduplication.
 
     Blank lines stay. Null texts stay null and empty ones empty; a text whose lines all go becomes empty, and its row stays. Rows repeated
     count once, being copies. ``counts`` names two more columns: lines, and lines dropped. An empty table gives no rows.

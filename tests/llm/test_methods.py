@@ -387,3 +387,19 @@ def test_links_are_checked_by_the_whole_shingle_sets(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.simhash_dedup(docs).collect()}
     assert kept == {rows[k][0] for k in range(len(rows)) if forest.top(k) == k}
+
+
+def test_only_true_copies_count_once(spark):
+    draw = random.Random(41)
+    # the lowest word hash is in the shared passage of all, so a sketch of one word can't tell its holders apart
+    passage = " ".join(sorted((f"term{k}" for k in range(3000)), key=lambda w: __import__("xxhash").xxh64_intdigest(w.encode()))[:30]).translate({k: k + 49 for k in range(48, 58)})
+    texts = [_prose(draw) + "\n" + passage for _ in range(9)]
+    base = [_prose(draw, 40) for _ in range(5)]
+    for _ in range(60):
+        words = " \n ".join(base).split(" ")
+        words[draw.randrange(10)] = "changed" + _prose(draw, 1)
+        texts.append(" ".join(words).replace(" \n ", "\n"))
+    got = {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[k] == texts[k].split("\n")[0] for k in range(9))
+    # near copies keep their text
+    assert all(got[k] == texts[k] for k in range(9, 69))
