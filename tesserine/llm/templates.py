@@ -76,36 +76,46 @@ def _lines(data: bytes, depth: int) -> Iterator[tuple[int, list[bytes]]]:
             yield leaf(tokens, depth), tokens
 
 
-def _leaf_counts(rows: DataFrame, depth: int) -> DataFrame:
-    """leaf, n: how many lines come to a leaf, a document's equal lines once."""
+def fixed(tokens: list[bytes]) -> int:
+    """How many tokens of a line aren't fields."""
+    return len(tokens) - tokens.count(FIELD)
+
+
+def _leaf_counts(rows: DataFrame, depth: int, long_words: int) -> DataFrame:
+    """leaf, n, n_long: how many lines come to a leaf, a document's equal lines once, and how many of them have ``long_words`` fixed words."""
 
     def run(batches):
         seen: Counter[int] = Counter()
+        seen_long: Counter[int] = Counter()
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["leaf", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(seen), list(seen.values()), [seen_long[at] for at in seen])], ["leaf", "n", "n_long"])
             seen.clear()
+            seen_long.clear()
             return batch
 
         for b in batches:
             for data in b.column("data"):
-                seen.update(at for at, _ in _lines(data.as_py(), depth))
+                for at, tokens in _lines(data.as_py(), depth):
+                    seen[at] += 1
+                    if len(tokens) >= long_words and fixed(tokens) >= long_words:
+                        seen_long[at] += 1
                 if len(seen) > 500_000:
                     yield out()
         yield out()
 
-    return rows.select("data").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    return rows.select("data").mapInArrow(run, "leaf long, n long, n_long long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("n_long").alias("n_long"))
 
 
 def _bucket(leaf_col: str) -> Column:
     return F.col(leaf_col).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
 
 
-def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, depth: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, templates): doc_id, line and text hash of each line below a leaf that may recur; line, template and support."""
+def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, depth: int, similarity: float, long_words: int, long_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, recurring): doc_id, line and text hash of each line below a leaf that may recur; the lines that do."""
     spark = docs.sparkSession
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).cast("binary").alias("data")).withColumn("text_hash", F.unhex(F.md5("data")))
-    busy = stored(_leaf_counts(rows, depth).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    busy = stored(_leaf_counts(rows, depth, long_words).where((F.col("n") >= min_docs) | (F.col("n_long") >= long_docs)).select("leaf"), "leaves")
     bits = np.zeros(1 << BUCKET_BITS, np.uint8)
     for r in busy.select(_bucket("leaf").alias("b")).distinct().collect():
         bits[r["b"]] = 1
@@ -135,25 +145,31 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
             for where, line, text in zip(b.column("leaf").to_pylist(), b.column("line").to_pylist(), b.column("masked").to_pylist(), strict=True):
                 if where != at:
                     at, below = where, {}
-                tokens = np.array([0 if x == FIELD else crc32(x) or 1 for x in text.split(b" ")], np.uint32)
+                words = text.split(b" ")
+                tokens = np.array([0 if x == FIELD else crc32(x) or 1 for x in words], np.uint32)
                 tree = below.setdefault(len(tokens), Leaf(similarity))
-                out.append((line, where, len(tokens) << 32 | tree.add(tokens)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["line", "leaf", "place"])
+                out.append((line, where, len(tokens) << 32 | tree.add(tokens), fixed(words) >= long_words))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.bool_()))], ["line", "leaf", "place", "long"])
             out.clear()
 
-    tree = stored(lines.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(cluster, "line binary, leaf long, place long"), "templates")
-    holders = stored(found.select("line", "text_hash").distinct().join(tree, "line").select("leaf", "place", "text_hash").distinct(), "holders")
+    tree = stored(lines.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(cluster, "line binary, leaf long, place long, long boolean"), "templates")
+    # a long line counts for itself, too: without leaf and place
+    own = F.struct(F.lit(None).cast("binary").alias("line"), "leaf", "place"), F.struct("line", F.lit(0).cast("long").alias("leaf"), F.lit(0).cast("long").alias("place"))
+    kind = F.explode(F.when(F.col("long"), F.array(*own)).otherwise(F.array(own[0]))).alias("kind")
+    lines = tree.select(F.col("line").alias("of"), kind).select("of", F.xxhash64("kind.line", "kind.leaf", "kind.place").alias("kind"), F.when(F.col("kind.line").isNull(), min_docs).otherwise(long_docs).alias("needed"))
+    lines = stored(lines, "kinds")
+    holders = stored(found.select("line", "text_hash").distinct().join(lines, F.col("line") == F.col("of")).select("kind", "needed", "text_hash").distinct(), "holders")
 
     def supported(rows: DataFrame, who: str) -> DataFrame:
-        return rows.groupBy("leaf", "place").agg(F.countDistinct(who).alias("support")).where(F.col("support") >= min_docs)
+        return rows.groupBy("kind", "needed").agg(F.countDistinct(who).alias("support")).where(F.col("support") >= F.col("needed")).select("kind")
 
-    # copy groups are no more than texts, so only holders of templates with enough texts are grouped
-    able = stored(holders.join(supported(holders, "text_hash").drop("support"), ["leaf", "place"], "left_semi"), "holders")
+    # copy groups are no more than texts, so only holders of what enough texts have are grouped
+    able = stored(holders.join(supported(holders, "text_hash"), "kind", "left_semi"), "holders")
     groups = copy_groups(rows, "doc_id", "data", only=able.select("text_hash").distinct()).select("text_hash", "class").distinct()
-    return found, tree.join(supported(able.join(groups, "text_hash"), "class"), ["leaf", "place"])
+    return found, lines.join(supported(able.join(groups, "text_hash"), "class"), "kind", "left_semi").select(F.col("of").alias("line")).distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, depth: int = 4, similarity: float = 0.8, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 8, depth: int = 4, similarity: float = 0.8, long_words: int = 50, long_docs: int = 2, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with all rows and columns, its texts without the lines whose template recurs.
 
     Lines are parsed by a tree of fixed depth: token count, then ``depth`` leading tokens, tokens with digits being variable fields. Below a leaf,
@@ -163,11 +179,14 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     five-word shingles), among the documents with a template that many texts have. Nothing is taken off; a further document can only lower a support if
     it makes one copy group of two. So a document that has many copies keeps its text, and its copies are left to near-deduplication.
 
+    A line with ``long_words`` fixed words doesn't recur by chance: it also recurs if ``long_docs`` documents, so counted, have it word for word
+    but for its fields. Lines that are only alike need ``min_docs`` at any length, or two revisions of a document would both lose their text.
+
     Blank lines stay. Null texts stay null and empty ones empty; a text whose lines all go becomes empty, and its row stays. Rows repeated
     count once, being copies. ``counts`` names two more columns: lines, and lines dropped. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    found, recurring = recurring_lines(docs, id_col, text_col, min_docs, depth, similarity)
+    found, recurring = recurring_lines(docs, id_col, text_col, min_docs, depth, similarity, long_words, long_docs)
     named = found.withColumnRenamed("doc_id", KEY).withColumn(KEY, F.coalesce(F.col(KEY), F.lit(-(1 << 63))))
     gone = named.join(recurring.select("line"), "line", "left_semi").groupBy(KEY).agg(F.collect_set("line").alias("__tesserine_gone__"))
     joined = docs.withColumn(KEY, F.coalesce(quoted(id_col).cast("long"), F.lit(-(1 << 63)))).join(gone, KEY, "left").drop(KEY)

@@ -403,3 +403,19 @@ def test_only_true_copies_count_once(spark):
     assert all(got[k] == texts[k].split("\n")[0] for k in range(9))
     # near copies keep their text
     assert all(got[k] == texts[k] for k in range(9, 69))
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    draw = random.Random(51)
+    passages, short = [_prose(draw, n) for n in (55, 60, 80)], _prose(draw, 20)
+    numbers = " ".join(str(k) for k in range(70))
+    own = [_prose(draw, 90) for _ in range(7)]
+    texts = ["\n".join([own[k], short, numbers, *(p for p, n in zip(passages, (2, 5, 7), strict=True) if k < n)]) for k in range(7)]
+    copied = "\n".join(_prose(draw, 70) for _ in range(2))
+    texts += [copied] * 3
+    # two revisions of one line, alike but no copies
+    revised = _prose(draw, 100).split()
+    texts += [" ".join(revised), " ".join("new" if k % 12 == 6 else w for k, w in enumerate(revised))]
+    got = {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[k] == "\n".join([own[k], short, numbers]) for k in range(7))
+    assert all(got[k] == texts[k] for k in range(7, len(texts)))
