@@ -17,8 +17,9 @@ BITS = 64
 SLICE = 1 << 16
 #: Bits of the bucket set that tells which texts are compared whole: what is broadcast is this over 8 bytes.
 BUCKET_BITS = 20
-#: A join key that no column of the input is called.
+#: Join keys that no column of the input is called.
 KEY = "__tesserine_id__"
+HASH = "__tesserine_hash__"
 
 
 class BKTree:
@@ -356,11 +357,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component. Of rows that repeat such an id one stays."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias(KEY)
-    kept = simhash_groups(docs, id_col, text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    rows = docs.withColumn(KEY, F.coalesce(quoted(id_col).cast("long"), F.lit(-(1 << 63))))
-    return rows.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
+    """One row of each component of ``copy_groups``, all columns: that with the smallest id, a null one only if there is no other.
+
+    A row is told by its id and text, so different texts under one id, or without one, stay each for its own component. Of
+    rows of a component that repeat the smallest id, that with the smallest text hash stays.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = copy_groups(docs, id_col, text_col, **how).groupBy("class").agg(first).select(F.col("first.doc_id").alias(KEY + "kept"), F.col("first.text_hash").alias(HASH + "kept"))
+    text = F.coalesce(quoted(text_col), F.lit("")).cast("binary")
+    rows = docs.withColumn(KEY, quoted(id_col).cast("long")).withColumn(HASH, F.unhex(F.md5(text)))
+    same = F.col(KEY).eqNullSafe(F.col(KEY + "kept")) & (F.col(HASH) == F.col(HASH + "kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([KEY, HASH]).drop(KEY, HASH)
 
 
 __all__ = ["BKTree", "Sketch", "copy_groups", "fingerprint", "fingerprints", "key_masks", "simhash_dedup", "simhash_groups"]

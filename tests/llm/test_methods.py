@@ -419,3 +419,12 @@ def test_long_lines_recur_from_two_documents(spark):
     got = {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(got[k] == "\n".join([own[k], short, numbers]) for k in range(7))
     assert all(got[k] == texts[k] for k in range(7, len(texts)))
+
+
+def test_one_row_of_each_component_stays(spark):
+    draw = random.Random(61)
+    a, b, c, d, e = (_prose(draw) for _ in range(5))
+    # texts without an id, and different texts under one id, the smallest of both components
+    rows = [(None, a), (None, b), (None, b), (3, c), (3, d), (7, d), (9, c), (5, e), (None, e), (None, None)]
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (3, c), (3, d), (5, e), (None, None)]))
