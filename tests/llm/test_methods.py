@@ -390,9 +390,11 @@ def test_links_are_checked_by_the_whole_shingle_sets(spark):
 
 
 def test_only_true_copies_count_once(spark):
+    from xxhash import xxh64_intdigest
+
     draw = random.Random(41)
     # the lowest word hash is in the shared passage of all, so a sketch of one word can't tell its holders apart
-    passage = " ".join(sorted((f"term{k}" for k in range(3000)), key=lambda w: __import__("xxhash").xxh64_intdigest(w.encode()))[:30]).translate({k: k + 49 for k in range(48, 58)})
+    passage = " ".join(sorted(_prose(draw, 9000).split(), key=lambda w: xxh64_intdigest(w.encode()))[:30])
     texts = [_prose(draw) + "\n" + passage for _ in range(9)]
     base = [_prose(draw, 40) for _ in range(5)]
     for _ in range(60):
