@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blobs, bounded_batches, components, quoted, stored
@@ -106,18 +106,19 @@ class Sketch:
         return (least >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def _prints(rows: DataFrame, words: int, sketch: tuple[int, int] | None, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """rows: ``data`` and the columns ``carried``. Those columns, fp and, with ``sketch``, sketch."""
+def _prints(rows: DataFrame, words: int, sketch: tuple[int, int] | None, carried: tuple[str, ...] = ("doc_id",), chosen: Chosen | None = None) -> DataFrame:
+    """rows: ``data`` and the columns ``carried``. Those columns, fp and, with ``sketch``, sketch; of ``chosen`` rows alone."""
     bounded_batches(rows.sparkSession)
 
     def run(batches):
         made = None if sketch is None else Sketch(*sketch)
-        for b in batches:
+        for b in batches if chosen is None else chosen.of(batches):
             got = [fingerprint(x, words, made) for x in b.column("data").to_pylist()]
             out = [*(b.column(c) for c in carried), pa.array(np.array([x[0] for x in got], np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays(out + ([] if made is None else [pa.array([x[1] for x in got], pa.binary())]), [*carried, "fp", "sketch"][: len(carried) + 1 + (made is not None)])
 
     kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    rows = rows if chosen is None else rows.select("*", _bucket())
     return rows.mapInArrow(run, kept + ", fp long" + ", sketch binary" * (sketch is not None))
 
 
@@ -265,21 +266,33 @@ def _linked(rows: DataFrame, radius: int, sketched: bool, least_equal: int, exac
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _chosen(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hashed: text_hash, data and more. The rows in the hash buckets of the text_hash of ``wanted``, found without a shuffle: all wanted ones, few others."""
-    bucket = F.xxhash64("text_hash").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("__bucket__")
-    bits = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for r in wanted.select(bucket).distinct().collect():
-        bits[r["__bucket__"]] = 1
-    shipped = hashed.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-    names = hashed.columns
+def _bucket() -> Column:
+    """A text's place in the bucket set."""
+    return F.xxhash64("text_hash").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("__bucket__")
 
-    def run(batches):
-        may = np.unpackbits(np.frombuffer(shipped.value, np.uint8)).astype(bool)
+
+class Chosen:
+    """The rows in the hash buckets of the text_hash of ``wanted``, found without a shuffle: all wanted ones, few others."""
+
+    def __init__(self, wanted: DataFrame) -> None:
+        bits = np.zeros(1 << BUCKET_BITS, np.uint8)
+        for r in wanted.select(_bucket()).distinct().collect():
+            bits[r["__bucket__"]] = 1
+        self.shipped = wanted.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = np.unpackbits(np.frombuffer(self.shipped.value, np.uint8)).astype(bool)
         for b in batches:
-            yield b.filter(pa.array(may[b.column("__bucket__").to_numpy()])).select(names)
+            yield b.filter(pa.array(may[b.column("__bucket__").to_numpy()]))
+
+    def rows(self, hashed: DataFrame) -> DataFrame:
+        names = hashed.columns
+
+        def run(batches):
+            for b in self.of(batches):
+                yield b.select(names)
 
-    return hashed.select(*names, bucket).mapInArrow(run, hashed.schema)
+        return hashed.select("*", _bucket()).mapInArrow(run, hashed.schema)
 
 
 def _similar(docs: DataFrame, words: int, radius: int, similarity: float, bands: int, rows: int, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -290,10 +303,9 @@ def _similar(docs: DataFrame, words: int, radius: int, similarity: float, bands:
     """
     bounded_batches(docs.sparkSession)
     hashed = docs.withColumn("text_hash", F.unhex(F.md5("data")))
-    if only is None:
-        prints = _prints(hashed, words, (bands, rows), ("doc_id", "text_hash"))
-    else:
-        prints = _prints(_chosen(hashed, only), words, (bands, rows), ("doc_id", "text_hash")).join(only, "text_hash", "left_semi")
+    prints = _prints(hashed, words, (bands, rows), ("doc_id", "text_hash"), None if only is None else Chosen(only))
+    if only is not None:
+        prints = prints.join(only, "text_hash", "left_semi")
     prints = stored(prints.withColumn("node", F.xxhash64("fp", "sketch")), "simhash")
     values = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("text_hash").alias("text_hash"))
     values = stored(values, "values")
@@ -305,7 +317,7 @@ def _similar(docs: DataFrame, words: int, radius: int, similarity: float, bands:
     needed = int(np.ceil(similarity * places - 3 * np.sqrt(similarity * (1 - similarity) * places)))
     loose = components(_linked(shards.repartition("k1", "k2").sortWithinPartitions("k1", "k2"), radius, True, needed))
     wanted = stored(values.join(loose, "node"), "loose")
-    texts = _chosen(hashed.select("text_hash", "data"), wanted).groupBy("text_hash").agg(F.first("data").alias("data"))
+    texts = Chosen(wanted).rows(hashed.select("text_hash", "data")).groupBy("text_hash").agg(F.first("data").alias("data"))
     near = wanted.join(texts, "text_hash").select(F.col("root").alias("k1"), F.lit(0).alias("k2"), "node", "fp", "sketch", "data")
     edges = _linked(near.repartition("k1").sortWithinPartitions("k1", "node"), radius, True, needed, (words, similarity))
     return prints, edges

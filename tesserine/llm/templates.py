@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,15 +18,17 @@ from .simhash import copy_groups
 KEY = "__tesserine_id__"
 #: Bits of the bucket set that tells which leaves may recur: the most that is ever broadcast is this over 8 bytes.
 BUCKET_BITS = 20
+#: So many recurring lines at most are broadcast, 16 bytes each; beyond, they meet the documents in a join.
+BROADCAST_LINES = 1 << 17
 FIELD = b"<*>"
-_MASK = bytes(1 if 48 <= k <= 57 else 0 for k in range(256))
+_digit = re.compile(rb"[0-9]").search
 
 
 def masked(line: bytes) -> list[bytes]:
-    """The tokens of a line; one with a digit is a variable field."""
+    """The tokens of a line; one with a digit is a variable field, and so is one that reads ``<*>`` itself."""
     tokens = line.split()
-    if any(_MASK[c] for c in set(line)):
-        tokens = [FIELD if any(_MASK[c] for c in t) else t for t in tokens]
+    if _digit(line):
+        tokens = [t if t.isalpha() or not _digit(t) else FIELD for t in tokens]
     return tokens
 
 
@@ -187,24 +190,31 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     bounded_batches(docs.sparkSession)
     found, recurring = recurring_lines(docs, id_col, text_col, min_docs, depth, similarity, long_words, long_docs)
-    named = found.withColumnRenamed("doc_id", KEY).withColumn(KEY, F.coalesce(F.col(KEY), F.lit(-(1 << 63))))
-    gone = named.join(recurring.select("line"), "line", "left_semi").groupBy(KEY).agg(F.collect_set("line").alias("__tesserine_gone__"))
-    joined = docs.withColumn(KEY, F.coalesce(quoted(id_col).cast("long"), F.lit(-(1 << 63)))).join(gone, KEY, "left").drop(KEY)
-
-    names, more = docs.columns, [*(counts or [])]
+    recurring = stored(recurring, "recurring")
+    names, more, shipped = docs.columns, [*(counts or [])], None
+    if recurring.count() <= BROADCAST_LINES:
+        shipped = docs.sparkSession.sparkContext.broadcast(b"".join(sorted(r["line"] for r in recurring.collect())))
+        joined = docs
+    else:
+        named = found.withColumnRenamed("doc_id", KEY).withColumn(KEY, F.coalesce(F.col(KEY), F.lit(-(1 << 63))))
+        gone = named.join(recurring, "line", "left_semi").groupBy(KEY).agg(F.collect_set("line").alias("__tesserine_gone__"))
+        joined = docs.withColumn(KEY, F.coalesce(quoted(id_col).cast("long"), F.lit(-(1 << 63)))).join(gone, KEY, "left").drop(KEY)
 
     def clean(batches):
+        every = None if shipped is None else {shipped.value[k : k + 16] for k in range(0, len(shipped.value), 16)}
         for b in batches:
             texts, n, dropped = [], [], []
-            for data, drop in zip(b.column(text_col).to_pylist(), b.column("__tesserine_gone__").to_pylist(), strict=True):
-                lines = (data or "").split("\n")
-                kept = lines
-                if drop:
-                    drop = set(drop)
-                    kept = [x for x in lines if not (tokens := masked(x.encode())) or line_id(tokens) not in drop]
-                texts.append(data if data is None else "\n".join(kept))
-                n.append(len(lines))
-                dropped.append(len(lines) - len(kept))
+            drops = b.column("__tesserine_gone__").to_pylist() if every is None else [every] * b.num_rows
+            for data, drop in zip(b.column(text_col).to_pylist(), drops, strict=True):
+                n.append((data or "").count("\n") + 1)
+                if drop and data:
+                    drop = drop if every is not None else set(drop)
+                    kept = [x for x in data.split("\n") if not (tokens := masked(x.encode())) or line_id(tokens) not in drop]
+                    data = data if len(kept) == n[-1] else "\n".join(kept)
+                    dropped.append(n[-1] - len(kept))
+                else:
+                    dropped.append(0)
+                texts.append(data)
             columns = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(n, pa.int64()), pa.array(dropped, pa.int64())] if more else [])], [*names, *more])
 
