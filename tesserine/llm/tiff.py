@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,10 +43,10 @@ class Page:
     pixels: np.ndarray
 
 
-def unpack_bits(data: bytes) -> bytes:
-    """PackBits: a count n below 128 copies n + 1 bytes, above 128 repeats a byte 257 - n times, and 128 does nothing."""
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """PackBits: a count n below 128 copies n + 1 bytes, above 128 repeats a byte 257 - n times, and 128 does nothing. Ends at ``most`` bytes."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (most is None or len(out) < most):
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -57,29 +58,31 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{1,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        end = i + 1
-        while end < len(data) and end - i < 128 and not (end + 1 < len(data) and data[end] == data[end + 1]):
-            end += 1
-        out.append(end - i - 1)
-        out += data[i:end]
-        i = end
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for k in range(at, end, 128):
+            part = data[k : min(end, k + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in _RUN.finditer(data):
+        literal(run.start())
+        at = run.end()
+        out += bytes((257 - (at - run.start()), data[run.start()]))
+    literal(len(data))
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widened one code early; 256 clears the table and 257 ends."""
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, widened one code early; 256 clears the table and 257 ends, as do ``most`` bytes."""
     out, table, width, before = [], [], 9, None
     bits = have = 0
+    left = float("inf") if most is None else most
     for byte in data:
         bits = (bits << 8 | byte) & 0xFFFFFF
         have += 8
@@ -105,6 +108,9 @@ def lzw_decode(data: bytes) -> bytes:
         if before is not None and len(table) < 4096:
             table.append(before + entry[:1])
         out.append(entry)
+        left -= len(entry)
+        if left <= 0:
+            break
         before = entry
         width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
     return b"".join(out)
@@ -147,15 +153,15 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def expand(data: bytes, compression: int, size: int) -> bytes:
-    """One strip or tile, ``size`` bytes after decoding."""
+    """One strip or tile, ``size`` bytes after decoding; what it would expand to beyond them isn't made."""
     if compression == RAW:
         got = data
     elif compression == PACKBITS:
-        got = unpack_bits(data)
+        got = unpack_bits(data, size)
     elif compression == LZW:
-        got = lzw_decode(data)
+        got = lzw_decode(data, size)
     elif compression in (ADOBE_DEFLATE, OLD_DEFLATE):
-        got = zlib.decompress(data, bufsize=max(64, size))
+        got = zlib.decompressobj().decompress(data, max(1, size))
     else:
         raise TiffError(f"compression {compression} isn't known")
     if len(got) < size:
@@ -216,20 +222,27 @@ def _one(tags: dict[int, tuple], tag: int, default: int | None = None) -> int:
     return got[0]
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages in the order of the directories. Chunky samples of 8 or 16 bits, in strips or tiles."""
+#: A page may have so many bytes after decoding, unless a reader is told otherwise.
+PAGE_BYTES = 1 << 28
+
+
+def read_pages(data: bytes, page_bytes: int = PAGE_BYTES) -> Iterator[Page]:
+    """The pages in the order of the directories: samples of 1, 8 or 16 bits, together or in planes, in strips or tiles. Samples of one bit
+    are a byte each, 0 or 1. A page of over ``page_bytes`` is an error before any memory is taken for it."""
     walk = Directories(data)
     for number, tags in enumerate(walk):
         width, height = _one(tags, WIDTH), _one(tags, HEIGHT)
         samples, packing, predictor = _one(tags, SAMPLES, 1), _one(tags, COMPRESSION, 1), _one(tags, PREDICTOR, 1)
         bits = tags.get(BITS, (1,))
-        if len(set(bits)) > 1 or bits[0] not in (8, 16):
-            raise TiffError(f"samples of {bits} bits aren't decoded")
-        if _one(tags, PLANAR, 1) != 1 and samples > 1:
-            raise TiffError("separate planes aren't decoded")
-        if predictor not in (1, 2):
-            raise TiffError(f"predictor {predictor} isn't known")
-        kind = np.dtype(f"{walk.order}u{bits[0] // 8}")
+        if len(set(bits)) > 1 or bits[0] not in (1, 8, 16):
+            raise TiffError(f"samples of {bits[:4]} bits aren't decoded")
+        if predictor not in (1, 2) or (predictor == 2 and bits[0] == 1):
+            raise TiffError(f"predictor {predictor} isn't known for samples of {bits[0]} bits")
+        kind = np.dtype(f"{walk.order}u{max(8, bits[0]) // 8}")
+        if width * height * samples * kind.itemsize > page_bytes:
+            raise TiffError(f"a page of {width} x {height} x {samples} samples has over {page_bytes} bytes")
+        planes = samples if _one(tags, PLANAR, 1) == 2 else 1
+        inside = samples // planes
         tiled = TILE_OFFSETS in tags
         if tiled:
             wide, high = _one(tags, TILE_WIDTH), _one(tags, TILE_HEIGHT)
@@ -237,18 +250,25 @@ def read_pages(data: bytes) -> Iterator[Page]:
         else:
             wide, high = width, min(_one(tags, ROWS_PER_STRIP, height), height)
             offsets, counts = tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ())
+        if wide * high * inside * kind.itemsize > page_bytes:
+            raise TiffError(f"tiles of {wide} x {high} have over {page_bytes} bytes")
         across, down = -(-width // max(1, wide)), -(-height // max(1, high))
-        if len(offsets) < across * down or len(counts) < across * down:
+        if min(len(offsets), len(counts)) < across * down * planes:
             raise TiffError("too few strips or tiles")
+        line = -(-wide * inside * bits[0] // 8)
         pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
-        for k in range(across * down):
-            y, x = k // across * high, k % across * wide
+        for k in range(across * down * planes):
+            plane, place = divmod(k, across * down)
+            y, x = place // across * high, place % across * wide
             rows = high if tiled else min(high, height - y)
-            part = expand(data[offsets[k] : offsets[k] + counts[k]], packing, rows * wide * samples * kind.itemsize)
-            block = np.frombuffer(part, kind).reshape(rows, wide, samples).astype(pixels.dtype)
+            part = expand(data[offsets[k] : offsets[k] + counts[k]], packing, rows * line)
+            if bits[0] == 1:
+                block = np.unpackbits(np.frombuffer(part, np.uint8).reshape(rows, line), axis=1)[:, : wide * inside].reshape(rows, wide, inside)
+            else:
+                block = np.frombuffer(part, kind).reshape(rows, wide, inside).astype(pixels.dtype)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=pixels.dtype)
-            pixels[y : y + rows, x : x + wide] = block[: height - y, : width - x]
+            pixels[y : y + rows, x : x + wide, plane * inside : (plane + 1) * inside] = block[: height - y, : width - x]
         yield Page(number, width, height, samples, bits[0], packing, predictor, tiled, pixels)
 
 
@@ -293,100 +313,140 @@ def write_pages(pages: list[np.ndarray], compression: int = ADOBE_DEFLATE, predi
 
 
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+_PAGE_FIELDS = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())]
 
 
-def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per page of each image: the id, what its directory says, and the decoded samples (row by row, little-endian).
+def tiff_pages(df: DataFrame, keys: str | list[str], media_col: str, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """One row per page of each image: the columns ``keys``, what its directory says, and the decoded samples (row by row, little-endian).
 
-    Bytes that aren't a TIFF, or break off, give one more row with page null and the reason in ``error``; so does
-    null. Pages before the fault are kept. Images are read one by one in the task that scans them, without a shuffle.
+    Bytes that aren't a TIFF, or break off, or claim a page of over ``page_bytes``, give one more row with page null and the reason in
+    ``error``; so does null. Pages before the fault are kept. Images are read one by one in the task that scans them, without a
+    shuffle; an image's pages follow each other.
     """
-    spark = df.sparkSession
-    bounded_batches(spark)
+    bounded_batches(df.sparkSession)
+    keys = [keys] if isinstance(keys, str) else keys
+
+    def pages(data: bytes | None) -> Iterator[tuple]:
+        try:
+            if data is None:
+                raise TiffError("no bytes")
+            for p in read_pages(data, page_bytes):
+                yield p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), None
+        except (TiffError, zlib.error) as e:
+            yield *[None] * 9, str(e)
 
     def run(batches):
         for b in batches:
-            rows = []
-            for key, data in zip(b.column("id").to_pylist(), b.column("media").to_pylist(), strict=True):
-                try:
-                    if data is None:
-                        raise TiffError("no bytes")
-                    for p in read_pages(data):
-                        rows.append((key, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), None))
-                except (TiffError, zlib.error) as e:
-                    rows.append((key, *[None] * 9, str(e)))
-            schema = pa.schema([("id", b.schema.field("id").type), *[(n, t) for n, t in zip(("page", "width", "height", "samples", "bits", "compression", "predictor"), [pa.int32()] * 7, strict=True)], ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())])
-            for start in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[start : start + 256]], schema)
-
-    chosen = df.select(quoted(id_col).alias("id"), quoted(media_col).cast("binary").alias("media"))
-    kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"id {kind}, {PAGE_SCHEMA}").withColumnRenamed("id", id_col)
-
-
-#: A payload is laid out in pixels of three samples, so many to a row, and in pages of at most so many rows.
-ROW_PIXELS, SAMPLES_PER_PIXEL, PAGE_ROWS = 64, 3, 4096
+            at, rows, size = [], [], 0
+
+            def out(b=b, at=at, rows=rows):
+                own = b.select([f"__key{k}" for k in range(len(keys))]).take(pa.array(at, pa.int32()))
+                return pa.RecordBatch.from_arrays([*own.columns, *(pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_PAGE_FIELDS))], [*own.schema.names, *(n for n, _ in _PAGE_FIELDS)])
+
+            for k, data in enumerate(b.column("media")):
+                for row in pages(data.as_py()):
+                    at.append(k)
+                    rows.append(row)
+                    size += len(row[8] or b"")
+                    if size > BATCH_BYTES:
+                        yield out()
+                        at.clear()
+                        rows.clear()
+                        size = 0
+            if rows:
+                yield out()
+
+    chosen = df.select(*[quoted(c).alias(f"__key{k}") for k, c in enumerate(keys)], quoted(media_col).cast("binary").alias("media"))
+    kinds = "".join(f"__key{k} {chosen.schema[f'__key{k}'].dataType.simpleString()}, " for k in range(len(keys)))
+    return chosen.mapInArrow(run, kinds + PAGE_SCHEMA).select(*[F.col(f"__key{k}").alias(c) for k, c in enumerate(keys)], *[n for n, _ in _PAGE_FIELDS])
+
+
+#: A payload is laid out in pixels of three samples, so many to a row, and in pages of at most so many rows. Decoded bytes handed on at once.
+ROW_PIXELS, SAMPLES_PER_PIXEL, PAGE_ROWS, BATCH_BYTES = 64, 3, 4096, 8 << 20
 ROW_BYTES = ROW_PIXELS * SAMPLES_PER_PIXEL
+#: Codec, predictor and tile of a payload, dealt by the payload's CRC-32.
+LAYOUTS = ((ADOBE_DEFLATE, 1, None), (PACKBITS, 1, None), (LZW, 1, None), (ADOBE_DEFLATE, 2, (32, 16)))
 
 
-def payload_image(data: bytes, predictor: int = 1) -> bytes:
-    """The bytes, padded with spaces to a positive multiple of ROW_BYTES, as samples of a TIFF of one page or more."""
+def payload_image(data: bytes) -> bytes:
+    """The bytes, padded with spaces to a positive multiple of ROW_BYTES, as samples of a TIFF of one page or more, in one of LAYOUTS."""
     data += b" " * (max(ROW_BYTES, -(-len(data) // ROW_BYTES) * ROW_BYTES) - len(data))
     rows = np.frombuffer(data, np.uint8).reshape(-1, ROW_PIXELS, SAMPLES_PER_PIXEL)
-    return write_pages([rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)], predictor=predictor)
+    codec, predictor, tile = LAYOUTS[zlib.crc32(data) % len(LAYOUTS)]
+    return write_pages([rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)], codec, predictor, tile=tile)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the text as a TIFF in ``media``, written to the shared folder and read from there."""
+    """doc_id, n_bytes, the text as a TIFF in ``media``, and which image of its partition that is, written to the shared folder and read from there."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        n = 0
         for b in batches:
             data = b.column("data").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array([payload_image(x) for x in data], pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    return stored(blobs(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "tiff")
-
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array([payload_image(x) for x in data], pa.binary()), pa.array(range(n, n + len(data)), pa.int64())], ["doc_id", "n_bytes", "media", "image"])
+            n += len(data)
 
-def features(pages: list[Page]) -> str:
-    """Of the decoded samples: pages, size, the mean of each channel, the mean step between neighbours in a row, and entropy, rounded."""
-    samples = np.concatenate([p.pixels.reshape(-1, p.samples) for p in pages])
-    counts = np.bincount(samples.reshape(-1), minlength=256)
-    share = counts[counts > 0] / samples.size
-    step = sum(np.abs(np.diff(p.pixels.astype(np.int16), axis=1)).sum() for p in pages) / samples.size
-    means = ",".join(f"{x:.3f}" for x in samples.mean(0, dtype=np.float64))
-    return f"pages={len(pages)};size={pages[0].width}x{sum(p.height for p in pages)};mean={means};step={step:.3f};entropy={abs(-(share * np.log2(share)).sum()):.4f}"
+    return stored(blobs(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary, image long"), "tiff")
 
 
-def fold_pages(df: DataFrame, media_col: str, fold: Callable[[bytes, list[Page]], dict], schema: str) -> DataFrame:
-    """All columns but the media, and what ``fold`` makes of the stored bytes and their decoded pages: the pages of an image stay in the task that reads them."""
-    bounded_batches(df.sparkSession)
-    rest = [c for c in df.columns if c != media_col]
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
-    empty = df.sparkSession.createDataFrame([], schema)
-    made = empty.columns
-
-    def run(batches):
-        for b in batches:
-            got = [fold(x, list(read_pages(x))) for x in b.column(media_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array([x[c] for x in got]) for c in made], [*rest, *made])
+class Digest:
+    """What the page rows of one image add up to: digests of the samples, and a feature string of pages, size, the mean of each channel, the mean
+    step between neighbours in a row, and entropy."""
 
-    return df.select(*[quoted(c) for c in [*rest, media_col]]).mapInArrow(run, f"{kinds}, {schema}")
+    def __init__(self, head: dict) -> None:
+        self.head, self.hash, self.tail, self.size = head, hashlib.sha256(), b"", 0
+        self.counts, self.sums, self.step, self.pages, self.rows, self.width = np.zeros(256, np.int64), np.zeros(SAMPLES_PER_PIXEL), 0, 0, 0, 0
 
+    def add(self, width: int, height: int, pixels: bytes) -> None:
+        self.hash.update(pixels)
+        self.tail = (self.tail + pixels[-16:])[-16:]
+        self.size += len(pixels)
+        x = np.frombuffer(pixels, np.uint8).reshape(height, width, -1)
+        self.counts += np.bincount(x.reshape(-1), minlength=256)
+        self.sums += x.sum((0, 1))
+        self.step += int(np.abs(np.diff(x.astype(np.int16), axis=1)).sum())
+        self.pages, self.rows, self.width = self.pages + 1, self.rows + height, width
 
-def digests(media: bytes, pages: list[Page]) -> dict:
-    payload = b"".join(p.pixels.tobytes() for p in pages)
-    return {
-        "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),
-        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": features(pages),
-    }
+    def row(self) -> tuple:
+        share = self.counts[self.counts > 0] / self.size
+        means = ",".join(f"{x:.3f}" for x in self.sums / (self.size / SAMPLES_PER_PIXEL))
+        feature = f"pages={self.pages};size={self.width}x{self.rows};mean={means};step={self.step / self.size:.3f};entropy={abs(-(share * np.log2(share)).sum()):.4f}"
+        h = self.head
+        return h["doc_id"], h["n_bytes"], self.size, self.hash.hexdigest(), zlib.crc32(self.tail), h["media_bytes"], h["media_sha256"], feature
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: what the text, stored as a TIFF and read back, holds.
+    """One row per row of ``docs``: what the text, stored as a TIFF and read back as rows of pages, holds.
 
-    Null text counts as empty: one row of spaces. Equal texts give equal values, as the stored form depends on nothing
-    else. A null id stays null. A damaged stored image fails the query rather than lose a row. An empty table gives no rows.
+    Codec, tiles and predictor are dealt by the payload's CRC-32 (see LAYOUTS), so that each is on the path and equal texts give equal
+    values. Null text counts as empty: one row of spaces. A null id stays null; rows repeated are images of their own. A damaged stored
+    image fails the query rather than lose a row. An empty table gives no rows.
     """
-    kinds = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return fold_pages(store_texts(docs, id_col, text_col), "media", digests, kinds).select(F.col("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    images = store_texts(docs, id_col, text_col).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "image", "media")
+    heads = ["doc_id", "n_bytes", "media_bytes", "media_sha256", "image"]
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+    def fold(batches):
+        now, done = None, []
+        for b in batches:
+            columns = {c: b.column(c).to_pylist() for c in (*heads, "page", "width", "height", "pixels", "error")}
+            for k in range(b.num_rows):
+                if columns["error"][k] is not None:
+                    raise TiffError(columns["error"][k])
+                if columns["page"][k] == 0:
+                    if now is not None:
+                        done.append(now.row())
+                    now = Digest({c: columns[c][k] for c in heads})
+                now.add(columns["width"][k], columns["height"][k], columns["pixels"][k])
+            if done:
+                yield batch(done)
+                done = []
+        if now is not None:
+            yield batch([now.row()])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return tiff_pages(images, heads, "media").mapInArrow(fold, schema)
