@@ -9,7 +9,11 @@ import re
 from array import array
 
 import numpy as np
+import pandas as pd
 import regex
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Words and other pieces that a worker remembers; over that it starts anew, so memory has a bound.
 WORDS, PIECES = 1_000_000, 200_000
@@ -45,7 +49,8 @@ class Encoder:
     The file's pre-tokenizer puts a single space into the token that follows it, so a text may be cut before each
     single space, and only parts not met before go to the library. Where white space meets such a space on both sides, or spaces
     stand in runs, the pre-tokenizer looks further: those texts are cut by its pattern as a whole. Parts with signs
-    whose class differs between versions of Unicode go to the library uncut. Strings of special tokens in a text are ordinary text.
+    whose class differs between versions of Unicode go to the library uncut. The library finds
+    its added tokens (such as the end of a text) in ordinary text, too: a text that holds the string of one goes to it uncut.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.split = self._splitter(path)
@@ -128,7 +133,7 @@ class Encoder:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        if self.split is None:
+        if self.split is None or any(x in text for x in self.added):
             return self._ask([text])[0]
         parts = text.split(" ")
         if not parts[0]:
@@ -167,6 +172,18 @@ class Encoder:
         return self.encode(text) + end_id.to_bytes(4, "little")
 
 
+def id_counts(text: Column, path: str | None = None) -> Column:
+    """How many ids the whole text (null: empty) has with the one that ends it."""
+    path = path or tokenizer_path()
+
+    @pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        made = encoder(path)
+        return texts.map(lambda t: len(made.encode(t)) // 4 + 1)
+
+    return count(F.coalesce(text, F.lit("")))
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """BLAKE2b-128 over pairs, level by level; an odd last node moves up. Leaves and inner nodes are marked apart. No leaf: the hash of nothing."""
 
