@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, stored
+from .common import bounded_batches, quoted, stored
+from .tokens import id_counts
 
 #: Documents to a block, and blocks to a source: either way a window over blocks, or over a block's documents, stays small.
 BLOCK_DOCS, MOST_BLOCKS = 512, 1 << 16
@@ -87,7 +88,8 @@ def plan_weights(sources: list[tuple[str | None, int, int]], budget: int | str =
 
 
 def words(text: Column) -> Column:
-    """A token count by built-in functions: white space between words, and one for the end. Null and empty texts count 1."""
+    """A cheaper ``token_count`` than id_counts, by built-in functions: white space between words, and one for the end. Null and empty texts count 1.
+    It takes a text without spaces for one token, so weights by it aren't those of the ids."""
     text = F.coalesce(text, F.lit(""))
     return (F.length(text) - F.length(F.translate(text, " \n\t\r", "")) + 1).cast("long")
 
@@ -98,10 +100,12 @@ class Mix:
     Each reading of a source goes through its blocks in an order that a hash of seed, reading and block gives, and through a
     block's documents likewise. Readings before the last are whole. The last stops at the document that fills the budget, which is
     a pair of hashes per source: so the mix of a table is a filter on the table, with a row per source broadcast, and moves no text.
+    Shares and budgets count ``token_count`` of each text, by default the ids that packing and storing make of it.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", token_count: Callable[[Column], Column] = words, seed: int = 0, max_sources: int = 10_000, **how) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", token_count: Callable[[Column], Column] = id_counts, seed: int = 0, max_sources: int = 10_000, **how) -> None:
         self.spark, self.id_col, self.source_col, self.seed = docs.sparkSession, id_col, source_col, seed
+        bounded_batches(self.spark)
         slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(source_col).cast("string").alias("source"), token_count(quoted(text_col)).alias("n_tokens"))
         self.slim = stored(slim, "mix")
         totals = self.slim.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("d")).orderBy(F.col("source").asc_nulls_first()).limit(max_sources + 1).collect()
