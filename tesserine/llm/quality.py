@@ -63,21 +63,28 @@ class Model:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def score(self, texts: list[bytes], block: int = 512) -> np.ndarray:
-        """Between 0 and 1. Without labelled documents 0.5; if no neighbour has a positive cosine, the share of label 1."""
+        """Between 0 and 1. Without labelled documents 0.5; if no neighbour has a positive cosine, the share of label 1. Of equal cosines at the
+        last place, the vector that stands first in the sample is the neighbour."""
         out = np.full(len(texts), 0.5)
         if not len(self.labels):
             return out
         k = min(self.neighbours, len(self.labels))
         for i in range(0, len(texts), block):
             cosines = self.embed(np.stack([term_counts(x) for x in texts[i : i + block]])) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.tile(np.arange(k), (len(cosines), 1))
-            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64)
+            weight = np.where(nearest(cosines, k), np.maximum(cosines, 0), 0).astype(np.float64)
             total = weight.sum(1)
-            vote = (weight * self.labels[near]).sum(1)
+            vote = weight @ self.labels
             out[i : i + block] = np.where(total > 0, np.clip(vote / np.maximum(total, 1e-300), 0, 1), self.prior)
         return out
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Where the ``k`` largest of each row are; of equal ones at the edge, the first."""
+    edge = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+    above, at = cosines > edge, cosines == edge
+    return above | (at & (np.cumsum(at, axis=1) <= k - above.sum(1, keepdims=True)))
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray, shape_weight: float) -> np.ndarray:
     """Unit rows: log frequencies by idf for byte pairs, then the shapes with a fixed share."""
     x = np.log1p(counts[:, :PAIR_TERMS]) * idf
@@ -88,7 +95,7 @@ def weighted(counts: np.ndarray, idf: np.ndarray, shape_weight: float) -> np.nda
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 3, fold: int = 1, max_labelled: int = 4096, dimensions: int = 48, neighbours: int = 15, shape_weight: float = 0.5) -> Model:
     """Fit on the labelled rows whose crc32(id as text) mod ``folds`` is not ``fold``.
 
-    The sample is bounded: the ``max_labelled`` rows with the smallest hash of the id, alike at any size of the
+    The sample is bounded: of the rows that have both, the ``max_labelled`` with the smallest hash of the id, alike at any size of the
     corpus, as vectors of TERMS counts (17 MB for the default). Rows without a label, and documents without labels, are left out; of
     an id labelled twice the larger label counts. Without any labelled row the model scores 0.5.
     """
@@ -96,8 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     known = labels.select(quoted(id_col).cast("long").alias("doc_id"), quoted(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
-    # twice as many ids as needed, as some may have no document
-    chosen = known.orderBy(order, "doc_id").limit(2 * max_labelled)
+    # only ids that have a document, so that no label without one takes a place
+    own = docs.select(quoted(id_col).cast("long").alias("doc_id"))
+    chosen = known.join(own, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_labelled)
 
     def count(batches):
         for b in batches:
