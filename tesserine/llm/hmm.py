@@ -63,7 +63,8 @@ def _steps(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np
     """Groups of texts, longest first: their places, how many are still running at each step, and their symbols step by step, without padding."""
     lengths = np.array([len(x) for x in texts])
     order = np.argsort(-lengths, kind="stable")
-    group = np.cumsum(lengths[order]) // PASS
+    # a text that is longer than a pass is a group of its own
+    group = np.where(lengths[order] > PASS, -1 - np.arange(len(order)), np.cumsum(lengths[order]) // PASS)
     for own in np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else []:
         size = lengths[own]
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")
@@ -74,10 +75,11 @@ def _steps(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield own, active, flat
 
 
-def forward(model: Model, active: np.ndarray, flat: np.ndarray, keep: bool = False):
-    """The natural log likelihood of each text. Each step's vector is scaled to sum 1; the logs of the scales add up. ``keep``: the vectors and scales as well."""
+def forward(model: Model, active: np.ndarray, flat: np.ndarray, keep: bool = False, before: np.ndarray | None = None):
+    """The natural log likelihood of each text, and the last step's vector. Each step's vector is scaled to sum 1; the logs of the scales add
+    up. ``keep``: the vectors and scales of all steps instead of the last. ``before``: the vector of the step before, where these go on."""
     likelihood = np.zeros(active[0])
-    kept, a, at = [], None, 0
+    kept, a, at = [], before, 0
     for n in active.tolist():
         a = (model.start if a is None else a[:n] @ model.move) * model.emit[flat[at : at + n]]
         scale = a.sum(1)
@@ -86,34 +88,48 @@ def forward(model: Model, active: np.ndarray, flat: np.ndarray, keep: bool = Fal
         at += n
         if keep:
             kept.append((a, scale))
-    return (likelihood, kept) if keep else likelihood
+    return likelihood, kept if keep else a
 
 
-def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Of starts, moves and emissions, summed over texts, and the log likelihood. The vectors are of 32 bits, sums of 64."""
+def expected_counts(model: Model, texts: list[np.ndarray], segment: int = PASS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of starts, moves and emissions, summed over texts, and the log likelihood. The vectors are of 32 bits, sums of 64.
+
+    A text of over ``segment`` tokens is alone in its group: only the vectors at the borders of its segments are kept on the way forward, and
+    each segment's are computed again on the way back, so memory doesn't grow with the longest text.
+    """
     s, symbols = len(model.start), len(model.emit)
     short = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
     start, move, emit, total = np.zeros(s), np.zeros((s, s)), np.zeros((symbols, s)), 0.0
-    for _, active, flat in _steps(texts):
-        likelihood, kept = forward(short, active, flat, keep=True)
-        total += likelihood.sum()
-        gamma = np.empty((len(flat), s), np.float32)
-        beta, at = np.ones((0, s), np.float32), len(flat)
-        back = np.ascontiguousarray(short.move.T)
-        for t in range(len(active) - 1, -1, -1):
-            (a, scale), n = kept[t], int(active[t])
-            at -= n
-            if len(beta) < n:
-                beta = np.concatenate([beta, np.ones((n - len(beta), s), np.float32)])
-            np.multiply(a, beta, out=gamma[at : at + n])
-            if t:
-                ahead = short.emit[flat[at : at + n]] * beta
-                ahead /= scale[:, None]
-                move += kept[t - 1][0][:n].T @ ahead
-                beta = ahead @ back
-        start += gamma[: active[0]].sum(0, dtype=np.float64)
-        for k in range(s):
-            emit[:, k] += np.bincount(flat, gamma[:, k], minlength=symbols)
+    back = np.ascontiguousarray(short.move.T)
+    for own, active, flat in _steps(texts):
+        cuts = [*range(0, len(active), segment)] if len(own) == 1 else [0]
+        ends = [*cuts[1:], len(active)]
+        borders: list[np.ndarray | None] = [None]
+        for lo, hi in zip(cuts[:-1], ends[:-1], strict=True):
+            borders.append(forward(short, active[lo:hi], flat[lo:hi], before=borders[-1])[1])
+        beta = np.ones((0, s), np.float32)
+        for lo, hi, border in zip(cuts[::-1], ends[::-1], borders[::-1], strict=True):
+            steps = active[lo:hi]
+            part = flat[lo:hi] if len(own) == 1 else flat
+            likelihood, kept = forward(short, steps, part, keep=True, before=border)
+            total += likelihood.sum()
+            gamma, at = np.empty((len(part), s), np.float32), len(part)
+            for t in range(len(steps) - 1, -1, -1):
+                (a, scale), n = kept[t], int(steps[t])
+                at -= n
+                if len(beta) < n:
+                    beta = np.concatenate([beta, np.ones((n - len(beta), s), np.float32)])
+                np.multiply(a, beta, out=gamma[at : at + n])
+                before = kept[t - 1][0][:n] if t else border
+                if before is not None:
+                    ahead = short.emit[part[at : at + n]] * beta
+                    ahead /= scale[:, None]
+                    move += before.T @ ahead
+                    beta = ahead @ back
+            if border is None:
+                start += gamma[: steps[0]].sum(0, dtype=np.float64)
+            for k in range(s):
+                emit[:, k] += np.bincount(part, gamma[:, k], minlength=symbols)
     return start, move * model.move, emit, total
 
 
@@ -219,13 +235,14 @@ def train(texts: DataFrame, shape: Shape, frequency: np.ndarray, rounds: int) ->
     return model
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, states: int = 8, own_words: int = 4096, endings: int = 4096, rounds: int = 4, block_bytes: int = 16 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, states: int = 8, own_words: int = 4096, endings: int = 4096, rounds: int = 4, block_bytes: int = 16 << 20, own_bytes: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from all rows whose crc32(id as text) mod ``folds`` is not ``fold``. base_score is the text's log10 probability under the
     unigram counts of the training rows with half a count more for each of them and for the unknown word. score is that
     under the hidden Markov model: states emit symbols (see Shape), a symbol gives a word by the same smoothed
-    counts, an unknown word having half a count in each symbol of endings; all sums of products are exact for the whole text.
+    counts, an unknown word having half a count in each symbol of endings. Words of over ``own_bytes`` bytes share the symbols of
+    endings however frequent they are, which bounds what is broadcast. All sums of products are exact for the whole text.
 
     Null text counts as empty: only its end. Rows repeated are learned from and scored each; a null id counts as
     the empty text when held out. Without training rows the model is the first one. An empty table gives no rows.
@@ -242,7 +259,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     known = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (known["n"] or 0) + ends, known["v"] + (ends > 0)
 
-    frequent = counts.where(F.length("word") <= 64).orderBy(F.desc("c"), "word").limit(own_words)
+    frequent = counts.where(F.length("word") <= own_bytes).orderBy(F.desc("c"), "word").limit(own_words)
     top = [(bytes(r["word"]), r["c"]) for r in frequent.collect()]
     others = counts.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w, _ in top], "word binary")), "word", "left_anti")
     mass = np.full(endings, 0.5)
@@ -258,7 +275,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         for t, symbols in _gathered(batches, "symbols"):
             likelihood = np.zeros(len(symbols))
             for own, active, flat in _steps(symbols):
-                likelihood[own] = forward(model.value, active, flat)
+                likelihood[own] = forward(model.value, active, flat)[0]
             scored = likelihood / np.log(10) + t.column("within").to_numpy()
             base = t.column("log_counts").to_numpy() - t.column("n_tokens").to_numpy() * per_token
             whole = pa.table([*(t.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(symbols), n, np.int64)), pa.array(base), pa.array(scored)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
