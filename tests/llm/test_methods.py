@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 pytest.importorskip("tesserine.llm")
 from pyspark.sql import functions as F  # noqa: E402
-from tesserine.llm import common, exact, hmm, mixing, packing, simhash, templates, tiff, tokens, wacz  # noqa: E402
+from tesserine.llm import common, exact, hmm, mixing, packing, quality, simhash, templates, tiff, tokens, wacz  # noqa: E402
 
 
 def test_collisions_are_told_apart(spark):
@@ -197,7 +197,7 @@ def test_forward_sums_over_all_paths():
     model = hmm.Model.first(shape, np.arange(1.0, 9.0))
     texts = [np.array([0, 5, 2, 7]), np.array([7]), np.array([1, 1, 1, 3, 7])]
     for own, active, flat in hmm._steps(texts):
-        for k, likelihood in zip(own, hmm.forward(model, active, flat), strict=True):
+        for k, likelihood in zip(own, hmm.forward(model, active, flat)[0], strict=True):
             brute = 0.0
             for path in itertools.product(range(3), repeat=len(texts[k])):
                 p = model.start[path[0]] * model.emit[texts[k][0], path[0]]
@@ -430,3 +430,159 @@ def test_one_row_of_each_component_stays(spark):
     rows = [(None, a), (None, b), (None, b), (3, c), (3, d), (7, d), (9, c), (5, e), (None, e), (None, None)]
     kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (3, c), (3, d), (5, e), (None, None)]))
+
+
+def test_segments_of_a_long_text(monkeypatch):
+    draw = np.random.default_rng(9)
+    shape = hmm.Shape(3, 5, 4)
+    model = hmm.Model.first(shape, draw.integers(1, 9, shape.symbols).astype(float))
+    texts = [draw.integers(0, shape.symbols, n).astype("<u2") for n in (200, 90, 90, 1, 33)]
+    whole = hmm.expected_counts(model, texts)
+    monkeypatch.setattr(hmm, "PASS", 80)
+    groups = [sorted(own.tolist()) for own, _, _ in hmm._steps(texts)]
+    assert [0] in groups and [1] in groups and [2] in groups
+    for x, y in zip(whole, hmm.expected_counts(model, texts, segment=17), strict=True):
+        np.testing.assert_allclose(x, y, rtol=1e-3)
+
+
+def test_neighbours_by_brute_force(spark):
+    draw = np.random.default_rng(3)
+    texts = [" ".join("".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(2, 9))) for _ in range(draw.integers(3, 60))) for _ in range(300)]
+    texts += texts[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(draw.integers(0, 2))) for k in range(0, 2000, 2)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, max_labelled=100, dimensions=12)
+    # labels without a document take no place in the sample
+    assert len(model.labels) == 100
+    got = model.score([t.encode() for t in texts])
+    for text, score in zip(texts, got, strict=True):
+        cosines = (model.embed(quality.term_counts(text.encode())[None]) @ model.vectors.T)[0]
+        near = sorted(range(100), key=lambda k: (-cosines[k], k))[: model.neighbours]
+        weights = [max(0.0, float(cosines[k])) for k in near]
+        expected = sum(w * model.labels[k] for w, k in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else model.prior
+        assert abs(score - expected) < 1e-4
+
+
+def test_nearest_takes_the_first_of_ties():
+    cosines = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]], np.float32)
+    assert quality.nearest(cosines, 3).tolist() == [[True, True, True, False, False], [True, True, True, False, False]]
+
+
+def test_schedule_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(4)
+    rows = [(k, "w " * int(draw.integers(0, 30)), f"s{min(3, int(draw.integers(0, 9)))}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(docs, budget="total", max_repeats=2.0, token_count=mixing.words)
+    p = mix.plan
+    n = {k: t.count(" ") + 1 for k, t, _ in rows}
+    # the weights: the flattest temperature under which no source is read more than twice
+    assert p.tokens == [sum(n[k] for k, _, s in rows if s == name) for name in p.sources] and max(p.repeats) <= 2 + 1e-6
+    for name, w in zip(p.sources, p.weights, strict=True):
+        shares = {s: t / sum(p.tokens) for s, t in zip(p.sources, p.tokens, strict=True)}
+        assert abs(w - shares[name] ** p.exponent / sum(x**p.exponent for x in shares.values())) < 1e-9
+    got = {}
+    for r in mix.schedule().collect():
+        got.setdefault((r["source"], r["reading"]), set()).add(r["doc_id"])
+    # the readings: whole ones, then the documents up to the budget in the order of the hashes of block and document
+    for name, budget, total, blocks in zip(p.sources, p.budgets, p.tokens, map(mix._blocks, p.documents), strict=True):
+        own = {k for k, _, s in rows if s == name}
+        last = max(0, math.ceil(budget / total - 1e-12) - 1)
+        assert all(got[name, k] == own for k in range(last))
+        block = F.pmod(F.xxhash64(F.lit(0), "doc_id"), F.lit(blocks).cast("int"))
+        at = [F.lit(0), F.lit(last), F.lit(name)]
+        order = [(r["b"], r["d"], r["doc_id"]) for r in docs.where(F.col("source") == name).select("doc_id", F.xxhash64(*at, block).alias("b"), F.xxhash64(*at, "doc_id", F.lit(1)).alias("d")).collect()]
+        left, due = budget - total * last, set()
+        for _, _, k in sorted(order):
+            if left <= 0:
+                break
+            due.add(k)
+            left -= n[k]
+        assert got.get((name, last), set()) == due
+
+
+@pytest.mark.parametrize("compression", [tiff.RAW, tiff.PACKBITS, tiff.LZW, tiff.ADOBE_DEFLATE])
+def test_bits_and_planes(compression):
+    import struct
+    import zlib
+
+    def image(tags, blocks):
+        """A little-endian TIFF of one page: tags {tag: (type, values)}, and the strips."""
+        out, offsets = bytearray(b"II*\0\0\0\0\0"), []
+        for b in blocks:
+            offsets.append(len(out))
+            out += b
+        tags = {**tags, tiff.STRIP_OFFSETS: (4, offsets), tiff.STRIP_COUNTS: (4, [len(b) for b in blocks])}
+        entries = b""
+        for tag, (kind, values) in sorted(tags.items()):
+            body = struct.pack(f"<{len(values)}{tiff.FIELD[kind]}", *values)
+            at = struct.pack("<I", len(out))
+            if len(body) > 4:
+                out += body
+            entries += struct.pack("<HHI", tag, kind, len(values)) + (at if len(body) > 4 else body.ljust(4, b"\0"))
+        struct.pack_into("<I", out, 4, len(out))
+        return bytes(out + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0")
+
+    pack = {tiff.RAW: bytes, tiff.PACKBITS: tiff.pack_bits, tiff.LZW: tiff.lzw_encode, tiff.ADOBE_DEFLATE: zlib.compress}[compression]
+    draw = np.random.default_rng(6)
+    bits = draw.integers(0, 2, (9, 13)).astype(np.uint8)
+    common_tags = {tiff.COMPRESSION: (3, [compression])}
+    strips = [pack(np.packbits(bits[y : y + 4], axis=1).tobytes()) for y in (0, 4, 8)]
+    (page,) = tiff.read_pages(image({**common_tags, tiff.WIDTH: (3, [13]), tiff.HEIGHT: (3, [9]), tiff.BITS: (3, [1]), tiff.ROWS_PER_STRIP: (3, [4])}, strips))
+    assert (page.pixels[:, :, 0] == bits).all() and page.bits == 1
+    planes = draw.integers(0, 256, (3, 5, 4)).astype(np.uint8)
+    tags = {**common_tags, tiff.WIDTH: (3, [4]), tiff.HEIGHT: (3, [5]), tiff.BITS: (3, [8, 8, 8]), tiff.SAMPLES: (3, [3]), tiff.PLANAR: (3, [2]), tiff.ROWS_PER_STRIP: (3, [5])}
+    (page,) = tiff.read_pages(image(tags, [pack(x.tobytes()) for x in planes]))
+    assert (page.pixels == planes.transpose(1, 2, 0)).all()
+    forged = image({**common_tags, tiff.WIDTH: (4, [1 << 31]), tiff.HEIGHT: (4, [1 << 31]), tiff.BITS: (3, [8]), tiff.ROWS_PER_STRIP: (4, [1 << 31])}, [pack(b"x")])
+    with pytest.raises(tiff.TiffError):
+        next(tiff.read_pages(forged))
+    # what a strip would expand to beyond the page isn't made
+    bomb = image({**common_tags, tiff.WIDTH: (3, [2]), tiff.HEIGHT: (3, [2]), tiff.BITS: (3, [8]), tiff.ROWS_PER_STRIP: (3, [2])}, [pack(b"\0" * 100_000)])
+    assert next(tiff.read_pages(bomb)).pixels.size == 4
+
+
+def test_forged_image_is_an_error_row(spark):
+    good = tiff.write_pages([np.full((2, 2, 3), 7, np.uint8)])
+    forged = bytearray(good)
+    at = int.from_bytes(good[4:8], "little") + 2
+    for k in range(2):
+        forged[at + 12 * k + 8 : at + 12 * k + 12] = (1 << 30).to_bytes(4, "little")
+    rows = tiff.tiff_pages(spark.createDataFrame([(1, bytearray(forged)), (2, bytearray(good))], "k int, media binary"), "k", "media").collect()
+    assert sorted((r["k"], r["page"], bool(r["error"])) for r in rows) == [(1, None, True), (2, 0, False)] or [(r["k"], r["error"] is None) for r in sorted(rows)] == [(1, False), (2, True)]
+
+
+def test_each_layout_is_used(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rows = tiff.tiff_pages(tiff.store_texts(docs), "doc_id", "media").select("compression", "predictor", "tiled").distinct().collect()
+    assert {tuple(r) for r in rows} == {(c, p, t is not None) for c, p, t in tiff.LAYOUTS}
+
+
+def test_special_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path()
+    library, made = Tokenizer.from_file(path), tokens.Encoder(path)
+    for text in ("x<|endoftext|>", "<|endoftext|>", "a <|endoftext|> b  c\n<|endoftext|>", "<|endoftext", "plain words"):
+        assert np.frombuffer(made.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(made.encode("x<|endoftext|>"), "<u4").tolist() == [87, 50256]
+
+
+def test_recurring_lines_broadcast_or_joined(spark, small_dir, monkeypatch):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text")
+    one = sorted(templates.drop_recurring_lines(docs, min_docs=3, counts=("n", "gone")).collect())
+    monkeypatch.setattr(templates, "BROADCAST_LINES", -1)
+    assert sorted(templates.drop_recurring_lines(docs, min_docs=3, counts=("n", "gone")).collect()) == one
+    assert sum(r["gone"] for r in one) > 0
+
+
+def test_a_footer_goes_from_all_documents(spark):
+    texts = [f"{' '.join(f'w{chr(97 + k % 26)}{chr(97 + j)}{chr(97 + k // 26)}' for j in range(20))}\nall rights are reserved by the owner" for k in range(40)]
+    got = templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all("reserved" not in r["text"] and r["text"] for r in got)
+
+
+def test_rows_without_an_id_or_with_one_twice(spark):
+    rows = [(None, f"quite different text number {c} about {c * 5}") for c in "abcde"] + [(9, "one text of nine"), (9, "another wholly different one")]
+    assert simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 7

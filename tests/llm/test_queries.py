@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 llm = pytest.importorskip("tesserine.llm.queries")
+from tesserine.llm import tiff  # noqa: E402
 from tesserine.llm.tokens import tokenizer_path  # noqa: E402
 
 
@@ -33,7 +34,6 @@ def ids(docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path())
-    library.encode_special_tokens = True
     return {k: [*library.encode(t, add_special_tokens=False).ids, 0] for k, t in docs.items()}
 
 
@@ -49,10 +49,11 @@ def test_sql(name, spark, small_dir, db):
     assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(theirs, key=repr)
 
 
-def test_mixing(spark, small_dir, docs):
+def test_mixing(spark, small_dir, docs, ids):
     rows = llm.op1_mixing(spark, small_dir).collect()
     assert {r["doc_id"] for r in rows} <= set(docs) and all(0 <= r["position"] < 1 for r in rows)
-    total = sum(sum(t.count(c) for c in " \n\t\r") + 1 for t in docs.values())
+    assert all(r["n_tokens"] == len(ids[r["doc_id"]]) for r in rows)
+    total = sum(map(len, ids.values()))
     assert abs(sum(r["n_tokens"] for r in rows) - total) < 0.2 * total
     assert abs(sum({r["source"]: r["weight"] for r in rows}.values()) - 1) < 1e-9
 
@@ -72,6 +73,12 @@ def test_media(spark, small_dir, docs):
         raw = docs[r["doc_id"]].encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        media = tiff.payload_image(raw)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        counts = Counter(payload)
+        entropy = -sum(c / len(payload) * math.log2(c / len(payload)) for c in counts.values())
+        means = [sum(payload[k::3]) / (len(payload) / 3) for k in range(3)]
+        assert f"entropy={abs(entropy):.4f}" in r["feature"] and r["feature"].split(";")[2] == "mean=" + ",".join(f"{x:.3f}" for x in means)
 
 
 def test_packing(spark, small_dir, ids):
