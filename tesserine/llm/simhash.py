@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from hashlib import md5
 from itertools import combinations
 
@@ -73,10 +74,65 @@ def shingle_hashes(data: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(join(x), 42) for x in zip(*(part[k:] for k in range(words)), strict=False)], dtype=np.uint64)
 
 
+#: Bytes that the rolling hash takes at once, and the size of its tables of powers.
+CHUNK = 1 << 16
+BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and BASE to the power of k and of -k, modulo 2**64."""
+    draws = np.random.default_rng(20_240_301).integers(0, 1 << 64, size=256, dtype=np.uint64)
+    steps = [np.full(CHUNK, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    for x in steps:
+        x[0] = 1
+    return draws, np.cumprod(steps[0]), np.cumprod(steps[1])
+
+
+def _prefixes(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The polynomials of the bytes before each of ``places``, which ascend."""
+    draws, up, _ = _powers()
+    out, carry = np.empty(len(places), np.uint64), np.uint64(0)
+    for k in range(0, len(x) + 1, CHUNK):
+        part = x[k : k + CHUNK]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(draws[part] * up[: len(part)], out=sums[1:])
+        sums = sums * np.uint64(pow(BASE, k, 1 << 64)) + carry
+        lo, hi = np.searchsorted(places, [k, k + CHUNK])
+        out[lo:hi] = sums[places[lo:hi] - k]
+        carry = sums[-1]
+    return out
+
+
+def rolling_hashes(data: bytes, words: int) -> Iterator[np.ndarray]:
+    """As shingle_hashes, but by a polynomial over bytes, from whose prefixes all shingles' hashes come by array operations.
+
+    For sketches and similarities, which need equal hashes for equal shingles and no particular ones.
+    """
+    x = np.frombuffer(b" ".join(data.lower().split()), np.uint8)
+    if not len(x):
+        return
+    gaps = np.flatnonzero(x == 32)
+    words = min(words, len(gaps) + 1)
+    starts, ends = np.append(0, gaps + 1)[: len(gaps) + 2 - words], np.append(gaps, len(x))[words - 1 :]
+    down = _powers()[2]
+    with np.errstate(over="ignore"):
+        h = (_prefixes(x, ends) - _prefixes(x, starts)) * down[starts % CHUNK]
+        if len(x) > CHUNK:
+            block = starts // CHUNK
+            h *= np.array([pow(BASE, -int(b) * CHUNK, 1 << 64) for b in range(block[-1] + 1)], np.uint64)[block]
+        for mix in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(mix)
+        h ^= h >> np.uint64(29)
+    for k in range(0, len(h), SLICE):
+        yield h[k : k + SLICE]
+
+
 def fingerprint(data: bytes, words: int, sketch: Sketch | None = None) -> tuple[int, bytes | None]:
-    """A bit is 1 if over half the shingle hashes set it; the fingerprint of no words is 0. Second: the min-hash sketch, if one is asked for."""
+    """A bit is 1 if over half the shingle hashes set it; the fingerprint of no words is 0. Second: the min-hash sketch, if one is asked for;
+    then the hashes are rolling_hashes."""
     ones, n, least = np.zeros(BITS, np.int64), 0, None
-    for h in shingle_hashes(data, words):
+    for h in shingle_hashes(data, words) if sketch is None else rolling_hashes(data, words):
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
         if sketch is not None:
@@ -184,7 +240,7 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 def shingle_set(data: bytes, words: int) -> np.ndarray:
     """The distinct shingle hashes of a text."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(data, words)]))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *rolling_hashes(data, words)]))
 
 
 def shard_links(fps: np.ndarray, radius: int, sketches: list[bytes] | None, least_equal: int, sure: Callable[[int, int], bool] | None = None) -> Forest:
