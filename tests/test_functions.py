@@ -61,20 +61,50 @@ def test_author_lists(spark):
     assert one(spark, text.is_full_name(F.col("n")), n="Ann Lee") and not one(spark, text.is_full_name(F.col("n")), n="Some University")
 
 
-@pytest.mark.parametrize(
-    ("raw", "kept"),
-    [
-        ("write to a.b@x.edu now", "write to x.edu now"),
-        ("{ann, bob}@uni.edu", "uni.edu"),
-        ("a@x.edu, b@x.edu", "x.edu"),
-        ("name.last@tum", "tum"),
-        ("Recall@k and mAP@0.5", "Recall@k and mAP@0.5"),
-        ("nothing here", "nothing here"),
-    ],
-)
-def test_addresses(spark, raw, kept):
-    assert one(spark, text.strip_addresses(F.col("t")), t=raw) == kept
-    assert one(spark, text.strip_addresses(F.col("t")), t=kept) == kept
+# transcribed cases: what an address gives way to
+ADDRESSES = [
+    ("write to a.b@x.edu now", "write to x.edu now"),
+    ("Tongji University, Shanghai, China x.y@tongji.edu.cn", "Tongji University, Shanghai, China tongji.edu.cn"),
+    ("Correspondence to Xiang Bai <xbai@hust.edu.cn>.", "Correspondence to Xiang Bai <hust.edu.cn>."),
+    *[(t, "stanford.edu") for t in ("{mkoren, mykel}@stanford.edu", "[mkoren, mykel] @stanford.edu", "(mkoren,mykel)@stanford.edu", "{firstname}.{lastname}@stanford.edu", "{mkoren | mykel} @stanford.edu", "{mkoren; mykel}@ stanford.edu")],
+    ("(jackjia@umich.edu, alfchen@umich.edu, zmao@umich.edu)", "(umich.edu)"),
+    ("Email: a.b@utexas.edu; c.d@utexas.edu.", "Email: utexas.edu."),
+    ("{a,b}@baidu.com {c,d}@buaa.edu.cn, wangsen1312@gmail.com", "baidu.com buaa.edu.cn, gmail.com"),
+    ("Stellantis, France lina.achaji@stellantis.comjulien.moreau@stellantis.com", "Stellantis, France stellantis.com"),
+    ("Athens, GA 30602, USA{Penghao.Deng, Jidong.Yang}@uga.edu", "Athens, GA 30602, USA uga.edu"),
+    ("清华大学zhang@tsinghua.edu.cn", "清华大学 tsinghua.edu.cn"),
+    ("Chinese Academy of Science{yuhaibao@air.,luoyz18@mails.}tsinghua.edu.cn", "Chinese Academy of Science tsinghua.edu.cn"),
+    ("Tsinghua {xyzhang,wangli_thu@mail}.tsinghua.edu.cn", "Tsinghua tsinghua.edu.cn"),
+    ("With University of Pittsburgh nls71 @pitt.edu", "With University of Pittsburgh pitt.edu"),
+    ("Germany edmir.xhoxhi@ ikt.uni-hannover.de", "Germany ikt.uni-hannover.de"),
+    ("Know-Center{aremonda, skrebs} @ know-center.at", "Know-Center know-center.at"),
+    ("Chalmers University of Technology @chalmers.se Zenseact", "Chalmers University of Technology chalmers.se Zenseact"),
+    ("USA, {\U0001d68a\U0001d697\U0001d692,\U0001d698\U0001d69b\U0001d698}\u200b@\u200b\U0001d69e\U0001d696\U0001d692\U0001d68c\U0001d691.\U0001d68e\U0001d68d\U0001d69e", "USA, umich.edu"),
+    ("Technical University of Munich, name.lastname@tum", "Technical University of Munich, tum"),
+    ("Curtin University, Australia jm.andrew.yu@gmailcom", "Curtin University, Australia gmailcom"),
+    ("ann@uni.lu and bob@u.cl", "uni.lu and u.cl"),
+]
+OTHER_SIGNS = ["58.11 mAP@0.5 for oriented object detection", "+22.9% mIoU vs. PointASNL@Sem.KITTI", "by an average of 10 points on nDCG@10.Moreover", "improves AP@0.5.In addition, it", "ViLCo R@1@0.5 of 29.6%", "Recall@k and Hits@n", "+9.6 CiDEr@0.5IoU", "+3.8% mIoU vs. SPoTr@S3DIS", "Energy Research Institute @ NTU", "Advanced Technology Group @ Samsung Smart Machines"]
+
+
+def test_addresses(spark):
+    rows = [*ADDRESSES, *((t, t) for _, t in ADDRESSES), *((t, t) for t in OTHER_SIGNS), (None, None), ("", ""), ("ETH Zürich \U0001d683", "ETH Zürich \U0001d683")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, raw string, kept string")
+    wrong = [(r["raw"], r["got"]) for r in df.withColumn("got", text.strip_addresses(F.col("raw"))).collect() if r["got"] != r["kept"]]
+    assert wrong == []
+    assert one(spark, text.strip_addresses(F.col("t"), keep_domain=False), t="Wei-Chiu Ma Raquel Urtasun {weichiu,urtasun}@uber.com") == "Wei-Chiu Ma Raquel Urtasun"
+
+
+def test_found_addresses(spark):
+    found = lambda t: one(spark, text.find_addresses(F.col("t")), t=t)
+    assert found("Uni x a.b@tudelft.nl y {c, d} @kit.edu z") == ["a.b@tudelft.nl", "{c, d} @kit.edu"] and len(found("A {a, b}@fzi.de B c@x.ac.uk C nls71 @pitt.edu D")) == 3
+    assert all(found(t) == [] for t in [*OTHER_SIGNS, "Chalmers University of Technology @chalmers.se", None])
+
+
+def test_country_domains(spark):
+    from tesserine.functions.addresses import top_level
+
+    assert len(top_level()) > 270 and {"lu", "cl", "uk", "eu", "com", "honda"} <= top_level() and not {"gb", "zz", "um"} & top_level()
 
 
 def test_scrubbed_maps(spark):
