@@ -64,18 +64,41 @@ def is_full_name(c: Column) -> Column:
     return (F.size(F.split(F.trim(c), r"\s+")) >= 2) & ~c.rlike(organisation)
 
 
-def looks_reversed(c: Column) -> Column:
-    """Whether a comma-separated list reads "Last, First, Last, First": an even number of parts, and those in odd places are single words."""
-    parts = F.split(c, r",\s*")
-    single = F.forall(F.filter(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p)), lambda p: p.isNotNull()), lambda p: ~p.contains(" "))
-    return (F.size(parts) >= 2) & (F.size(parts) % 2 == 0) & single
-
-
-def paired_names(c: Column) -> Column:
-    """"Last, First, Last, First" as "First Last, First Last"; lists of odd length, and "A and B" forms, as they are."""
-    parts = F.split(c, r",\s*")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1)), lambda k: F.concat_ws(" ", F.get(parts, 2 * k + 1), F.get(parts, 2 * k)))
-    return F.when((F.size(parts) % 2 == 0) & ~c.contains(" and "), F.array_join(pairs, ", ")).otherwise(c)
+def name_parts(c: Column) -> Column:
+    """What commas part, without blanks around and empty parts."""
+    return F.filter(F.transform(F.split(c, ","), F.trim), lambda p: p != "")
+
+
+def joined_parts(c: Column) -> Column:
+    """What the word "and" parts."""
+    return F.split(F.trim(c), r"\s*,?\s+and\s+")
+
+
+def is_joined_reversed(c: Column) -> Column:
+    """"Last, First and Last, First": each part has one comma."""
+    parts = joined_parts(c)
+    return (F.size(parts) > 1) & F.forall(parts, lambda p: F.size(F.split(p, ",")) == 2)
+
+
+def may_be_reversed(c: Column) -> Column:
+    """Whether a list reads "Last, First, Last, First": an even number of parts, one of which at least is a single word; or joined so by "and"."""
+    parts = name_parts(c)
+    return is_joined_reversed(c) | ((F.size(parts) % 2 == 0) & F.exists(parts, lambda p: ~p.contains(" ")))
+
+
+def _turned(first: Column, last: Column) -> Column:
+    return F.trim(F.concat_ws(" ", F.trim(first), F.trim(last)))
+
+
+def ordered_names(c: Column, reversed_list: Column) -> Column:
+    """"First Last, First Last" of a list in any of its forms. Lists of an odd number of parts can't be paired and stay, as do blank ones."""
+    parts, joined = name_parts(c), joined_parts(c)
+    turned = F.array_join(F.transform(joined, lambda p: _turned(F.get(F.split(p, ","), F.lit(1)), F.get(F.split(p, ","), F.lit(0)))), ", ")
+    plain = F.array_join(F.filter(F.transform(joined, lambda p: F.btrim(p, F.lit(", "))), lambda p: p != ""), ", ")
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(parts) - 2), F.lit(2))
+    pairs = F.array_join(F.transform(places, lambda k: _turned(F.get(parts, k + 1), F.get(parts, k))), ", ")
+    paired = reversed_list & (F.size(parts) > 0) & (F.size(parts) % 2 == 0)
+    return F.when(is_joined_reversed(c), turned).when(F.size(joined) > 1, plain).when(paired, pairs).otherwise(c)
 
 
 def institution(c: Column, by_hand: Mapping[str, str], learnt: Mapping[str, str]) -> Column:

@@ -71,3 +71,9 @@ def substring_count(c: Column, word: Column) -> Column:
     """Occurrences that don't overlap; 0 for an empty word."""
     n = (F.length(c) - F.length(F.replace(c, word, F.lit("")))) / F.nullif(F.length(word), F.lit(0))
     return F.coalesce(n, F.lit(0)).cast("long")
+
+
+def days_since(date: Column, today: Column, never: int | None = None) -> Column:
+    """Whole days from a date to today; for no date ``never``."""
+    days = F.datediff(today.cast("date"), date.cast("date"))
+    return days if never is None else F.coalesce(days, F.lit(never))

@@ -166,3 +166,30 @@ def passed(gated: DataFrame) -> DataFrame:
 def big_groups(rows: DataFrame, by: str, over: int) -> DataFrame:
     """Groups of *more* than ``over`` rows, largest first."""
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > over).orderBy(F.desc("n"), by)
+
+
+def corpus_totals(papers: DataFrame, authorship: DataFrame, stages: dict[str, Column], source: str = "source") -> DataFrame:
+    """Rows (figure, n): papers, distinct authors and institutions, papers at each stage of the pipeline (a condition by name), and papers by source."""
+    named = papers.agg(F.count(F.lit(1)).alias("papers"), *[F.count_if(c).alias(f"stage {n}") for n, c in stages.items()])
+    people = authorship.agg(F.countDistinct("author").alias("authors"), F.countDistinct("institution").alias("institutions"))
+    sources = papers.groupBy(F.concat(F.lit("source "), F.coalesce(F.col(source), F.lit("venue_listing"))).alias("figure")).agg(F.count(F.lit(1)).alias("n"))
+    one = named.unpivot([], named.columns, "figure", "n").unionByName(people.unpivot([], people.columns, "figure", "n"))
+    return one.unionByName(sources)
+
+
+def source_mix(papers: DataFrame, kinds: dict[str, list[str]], source: str = "source", default: str = "venue_listing") -> DataFrame:
+    """Per kind of source (each a list of sources): papers, and their percent of all, rounded to a tenth."""
+    own = F.coalesce(F.col(source), F.lit(default))
+    one = papers.agg(F.count(F.lit(1)).alias("__all"), *[F.count_if(own.isin(s)).alias(k) for k, s in kinds.items()])
+    return one.unpivot(["__all"], list(kinds), "kind", "n").select("kind", "n", share(F.col("n"), F.col("__all"), 1).alias("percent"))
+
+
+def marked_thin(rows: DataFrame, least: int = 5, cited: str = "cited_papers") -> DataFrame:
+    """Whether an average rests on fewer cited papers than ``least``; the average itself stays."""
+    return rows.withColumn("thin", F.col(cited) < least)
+
+
+def next_baseline(gated: DataFrame) -> DataFrame:
+    """The figures that the next build is compared with: the new ones if none is bad, else the old ones, so that a drop isn't forgotten. gated: as ``gate`` gives it."""
+    any_bad = gated.agg(F.coalesce(F.max("bad"), F.lit(False)).alias("__bad"))
+    return gated.crossJoin(F.broadcast(any_bad)).select("metric", F.when(F.col("__bad"), F.col("before")).otherwise(F.col("value")).alias("value"))

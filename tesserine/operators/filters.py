@@ -90,3 +90,30 @@ def with_param(url: Column, name: str, value: str) -> Column:
     pair = F.concat(F.lit(f"{name}="), F.url_encode(F.lit(value)))
     replaced = F.regexp_replace(url, F.lit(own), F.concat(F.lit("$1"), pair))
     return F.when(url.rlike(own), replaced).otherwise(F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), pair))
+
+
+def relevance_view(papers: DataFrame, view: str, relevance: str = "relevance", yes: str = "AV", no: str = "non-AV") -> DataFrame:
+    """The papers of one relevance, or with "both" those of either; papers with neither, or none, are in no view."""
+    wanted = {yes: [yes], no: [no], "both": [yes, no]}
+    if view not in wanted:
+        raise ValueError(f"no view {view}: {yes}, {no} or both")
+    return papers.where(F.col(relevance).isin(wanted[view]))
+
+
+def author_view(rows: DataFrame, who: str = "author", regions: DataFrame | None = None, region: str | None = None, span: str = "span", min_span: int = 0, query: str = "") -> DataFrame:
+    """Aggregated authors of a region and with a career of so many years at least. Both filters rest while a query is active; with a
+    region asked for, authors without one drop out."""
+    if query.strip():
+        return rows
+    got = rows.where(F.col(span) >= min_span) if min_span else rows
+    if region and regions is not None:
+        got = got.join(regions.where(F.col("region") == region).select(who).distinct(), who, "left_semi")
+    return got
+
+
+def institution_view(rows: DataFrame, places: DataFrame, who: str = "institution", country: str | None = None, sector: str | None = None) -> DataFrame:
+    """Aggregated institutions of a country and sector (places: who, country, sector); unlike those of authors, these filters hold during a search."""
+    for column, value in (("country", country), ("sector", sector)):
+        if value:
+            rows = rows.join(places.where(F.col(column) == value).select(who).distinct(), who, "left_semi")
+    return rows

@@ -121,17 +121,21 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def paper_clusters(authorship: DataFrame) -> DataFrame:
-    """Per author: the groups that the author's papers fall into when two that share another co-author belong together.
+    """Per author: the groups that the author's papers fall into when two that share another co-author belong together. authorship: author, paper."""
+    own = authorship.select("author", "paper").distinct()
+    return clusters_by_coauthor(own.join(own.select(F.col("author").alias("co"), "paper"), "paper").select("author", "paper", "co"))
+
+
+def clusters_by_coauthor(rows: DataFrame) -> DataFrame:
+    """rows: author, paper, co (an author of it, the author included). As paper_clusters.
 
     A chain through each (author, co-author) pair's papers links them with one edge a paper, not one a pair of papers.
     """
-    own = authorship.select("author", "paper").distinct()
-    other = own.select(F.col("author").alias("co"), "paper")
-    shared = own.join(other, "paper").where("author <> co")
+    rows = rows.distinct()
     after = Window.partitionBy("author", "co").orderBy("paper")
     name = F.concat_ws("|", "author", F.lpad(F.col("paper").cast("string"), 20, "0"))
-    chained = shared.select("author", "co", "paper", name.alias("a"), F.lead(name).over(after).alias("b")).where("b is not null").select("a", "b")
-    roots = connected(chained, own.select(name.alias("node")))
+    chained = rows.where("author <> co").select("author", "co", "paper", name.alias("a"), F.lead(name).over(after).alias("b")).where("b is not null").select("a", "b")
+    roots = connected(chained, rows.select(name.alias("node")))
     return roots.select(F.substring_index("node", "|", 1).alias("author"), "root").groupBy("author").agg(F.countDistinct("root").alias("clusters"))
 
 
@@ -171,3 +175,32 @@ def ambiguity(authors: DataFrame, colliding_names: list[str], common_surnames: l
     score = server_round(F.when(F.col("prior") == 0, F.col("structure") * 0.35).otherwise(F.col("prior") + F.col("structure")), 1)
     tier = F.when(F.col("prior") == 0, "prolific-single-likely").when(high, "high-confidence").when(review, "review").otherwise("weak")
     return got.withColumn("score", score).withColumn("tier", tier).drop("structure", "prior")
+
+
+def citing_papers(edges: DataFrame, papers: DataFrame, authorship: DataFrame) -> DataFrame:
+    """Per edge whose citer is known: the citer's columns, and whether it shares an author with the cited paper. papers: paper and what is shown of a citer."""
+    own = authorship.select("paper", "author").distinct()
+    shared = edges.join(own.select(F.col("paper").alias("citer"), "author"), "citer").join(own.select(F.col("paper").alias("cited"), "author"), ["cited", "author"]).select("citer", "cited").distinct()
+    got = edges.join(papers.withColumnRenamed("paper", "citer"), "citer").join(shared.withColumn("self", F.lit(True)), ["citer", "cited"], "left")
+    return got.withColumn("self", F.coalesce("self", F.lit(False)))
+
+
+def citers_in_order(edges: DataFrame, papers: DataFrame) -> DataFrame:
+    """cited, citer, year, place: a paper's citers by year, unknown years first, equal years by citer. The order is one of ranges over all edges, so a
+    paper that very many cite is no single task."""
+    from .rank import global_rank
+
+    dated = edges.join(papers.select(F.col("paper").alias("citer"), "year"), "citer").select("cited", "citer", "year")
+    ranked = global_rank(dated, [F.asc("cited"), F.asc_nulls_first("year"), F.asc("citer")], "__r")
+    first = ranked.groupBy("cited").agg(F.min("__r").alias("__first"))
+    return ranked.join(first, "cited").select("cited", "citer", "year", (F.col("__r") - F.col("__first") + 1).alias("place"))
+
+
+def dataset_adoption(seeds: DataFrame, papers: DataFrame, edges: DataFrame) -> DataFrame:
+    """seeds: label, place, paper; papers: paper, year. Per label with a known seed paper: the first of them, its year, how many others there are, and the
+    papers that cite any of them, each once."""
+    known = seeds.join(papers.select("paper", "year"), "paper")
+    primary = known.groupBy("label").agg(F.min_by(F.struct("paper", "year"), "place").alias("p"), (F.count(F.lit(1)) - 1).alias("others"))
+    citers = known.select("label", F.col("paper").alias("cited")).join(edges, "cited").join(papers.select(F.col("paper").alias("citer")), "citer", "left_semi").select("label", "citer").distinct()
+    counts = citers.groupBy("label").agg(F.count(F.lit(1)).alias("citing"))
+    return primary.join(counts, "label", "left").select("label", F.col("p.paper").alias("paper"), F.col("p.year").alias("year"), "others", F.coalesce("citing", F.lit(0)).alias("citing"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import plain_key
 from ..functions.values import nullify_empty
+from ..scratch import stored
 
 
 def priority_dedup(rows: DataFrame, key: Column, order: list[Column], fill: str | None = None, filler: Column | None = None) -> DataFrame:
@@ -14,11 +16,12 @@ def priority_dedup(rows: DataFrame, key: Column, order: list[Column], fill: str
     keyed = rows.withColumn("__k", key).where(F.coalesce(F.col("__k"), F.lit("")) != "")
     own = Window.partitionBy("__k").orderBy(*order)
     numbered = keyed.withColumn("__r", F.row_number().over(own))
-    if fill:
-        offered = F.when((F.col("__r") > 1) & (filler if filler is not None else F.lit(True)), nullify_empty(F.col(fill)))
-        offer = F.first(offered, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        numbered = numbered.withColumn("__o", offer).withColumn(fill, F.coalesce(nullify_empty(F.col(fill)), F.col("__o"))).drop("__o")
-    return numbered.where("__r = 1").drop("__r", "__k")
+    first = numbered.where("__r = 1").drop("__r")
+    if not fill:
+        return first.drop("__k")
+    offered = F.when(filler if filler is not None else F.lit(True), nullify_empty(F.col(fill)))
+    offers = numbered.where("__r > 1").select(F.col("__k").alias("__ok"), offered.alias("__o"), "__r").where("__o is not null").groupBy("__ok").agg(F.min_by("__o", "__r").alias("__o"))
+    return first.join(offers, F.col("__k") == F.col("__ok"), "left").withColumn(fill, F.coalesce(nullify_empty(F.col(fill)), F.col("__o"))).drop("__k", "__ok", "__o")
 
 
 def journal_takeover(rows: DataFrame, key: str, order: list[Column], journals: list[str], conferences: list[str], fill: list[str]) -> DataFrame:
@@ -129,8 +132,8 @@ def zip_ids(rows: DataFrame, names: str, others: str, ids: str) -> DataFrame:
 def institution_countries(authorship: DataFrame, known: DataFrame, industry: DataFrame) -> DataFrame:
     """Per paper its countries, sorted: those that authors have, and those known of their institutions, except that a
     company's gives nothing to an author who has a country. authorship: paper, author, institution, country."""
-    placed = authorship.join(F.broadcast(known.select("institution", F.col("country").alias("__k"))), "institution", "left")
-    placed = placed.join(F.broadcast(industry.select("institution", F.lit(True).alias("__i"))), "institution", "left")
+    placed = authorship.join(known.select("institution", F.col("country").alias("__k")), "institution", "left")
+    placed = placed.join(industry.select("institution", F.lit(True).alias("__i")), "institution", "left")
     has = F.max(F.col("country").isNotNull()).over(Window.partitionBy("paper", "author"))
     added = F.when(~(F.coalesce("__i", F.lit(False)) & has), F.col("__k"))
     both = placed.select("paper", F.array("country", added).alias("c")).select("paper", F.explode("c").alias("c")).where("c is not null")
@@ -139,16 +142,63 @@ def institution_countries(authorship: DataFrame, known: DataFrame, industry: Dat
 
 def intake(batch: DataFrame, floor_year: int, in_focus: Column, withdrawn: Column, known_ids: DataFrame, known_keys: DataFrame) -> DataFrame:
     """Each row of a batch (id, key, year, pos) with its outcome, the first that applies: old, seen, withdrawn, off_topic, known, repeated
-    (an accepted row before it has the id or key), accepted."""
+    (an accepted row before it has the id or key), accepted. Null ids and keys equal nothing.
+
+    Only accepted rows take an id or key, so a repeated one doesn't stand in the way of later rows. Rows of one id and key count once;
+    of those left, a row that comes first for both its id and its key is accepted, and settles all others of either: a round of
+    joins on keys and places, over again for what is still open, which a chain of conflicts of the length n takes n / 2 times.
+    """
     got = batch.join(known_ids.select("id", F.lit(True).alias("__s")).distinct(), "id", "left").join(known_keys.select("key", F.lit(True).alias("__t")).distinct(), "key", "left")
     outcome = F.when(F.col("year") < floor_year, "old").when(F.col("__s"), "seen").when(withdrawn, "withdrawn").when(~in_focus, "off_topic").when(F.col("__t"), "known")
-    got = got.withColumn("outcome", outcome)
-    fresh = F.col("outcome").isNull()
-    by_id = F.row_number().over(Window.partitionBy("id", fresh).orderBy("pos"))
-    by_key = F.row_number().over(Window.partitionBy("key", fresh).orderBy("pos"))
-    got = got.withColumn("__i", by_id).withColumn("__k", by_key)
-    return got.withColumn("outcome", F.coalesce("outcome", F.when((F.col("__i") > 1) | (F.col("__k") > 1), "repeated").otherwise("accepted"))).drop("__s", "__t", "__i", "__k")
+    got = stored(got.withColumn("outcome", outcome).drop("__s", "__t"), "intake")
+    fresh = got.where("outcome is null").select("pos", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("\0"), F.col("pos").cast("string"))).alias("i"), F.coalesce(F.col("key").cast("string"), F.concat(F.lit("\0"), F.col("pos").cast("string"))).alias("k"))
+    open_ = stored(fresh.groupBy("i", "k").agg(F.min("pos").alias("pos")), "intake-open")
+    taken = None
+    while open_.take(1):
+        first_i, first_k = (open_.groupBy(c).agg(F.min("pos").alias(f"first_{c}")) for c in ("i", "k"))
+        now = stored(open_.join(first_i, "i").join(first_k, "k").where("pos = first_i and pos = first_k").select("i", "k", "pos"), "intake-taken")
+        taken = now if taken is None else taken.unionByName(now)
+        open_ = stored(open_.join(now.select("i"), "i", "left_anti").join(now.select("k"), "k", "left_anti"), "intake-open")
+    accepted = F.lit(False) if taken is None else F.coalesce(F.col("__a"), F.lit(False))
+    if taken is not None:
+        got = got.join(taken.select("pos", F.lit(True).alias("__a")), "pos", "left")
+    return got.withColumn("outcome", F.coalesce("outcome", F.when(accepted, "accepted").otherwise("repeated"))).drop("__a")
 
 
 def funnel(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def person_key(name: Column) -> Column:
+    """A person's name as letters only, case and order of words kept."""
+    return F.regexp_replace(F.lower(name), r"[^\p{L}]", "")
+
+
+def affiliations_by_person(authorship: DataFrame, known: DataFrame) -> DataFrame:
+    """authorship: paper, position, author, affiliations; known: paper, author, affiliations. Authors of a paper without affiliations get those that
+    ``known`` has for the person on that paper; what an author has stays. Of several the first in order counts."""
+    side = known.where(F.size("affiliations") > 0).groupBy(F.col("paper").alias("__p"), person_key(F.col("author")).alias("__n")).agg(F.min("affiliations").alias("__f"))
+    got = authorship.join(side, (F.col("paper") == F.col("__p")) & (person_key(F.col("author")) == F.col("__n")), "left")
+    has = F.coalesce(F.size("affiliations") > 0, F.lit(False))
+    return got.withColumn("affiliations", F.when(has, F.col("affiliations")).otherwise(F.coalesce("__f", "affiliations"))).drop("__p", "__n", "__f")
+
+
+def asked_ids(names: DataFrame) -> DataFrame:
+    """names: name, id. Each id once, with how many names share it: what a look-up is asked for."""
+    return names.where("id is not null").groupBy("id").agg(F.countDistinct("name").alias("names"))
+
+
+def fan_out(names: DataFrame, results: DataFrame) -> DataFrame:
+    """names: name, id; results: id and more. What a look-up found for an id goes to every name that has it."""
+    return names.where("id is not null").select("name", "id").distinct().join(results, "id")
+
+
+def optional_link(papers: DataFrame, links: DataFrame, title: str = "title", link: str = "link") -> DataFrame:
+    """Papers with the link of their title's key, null without; of several the first in order."""
+    side = links.groupBy(plain_key(F.col(title)).alias("__k")).agg(F.min(link).alias(link)).where(F.col("__k") != "")
+    return papers.drop(link).join(side, plain_key(F.col(title)) == F.col("__k"), "left").drop("__k")
+
+
+def key_intersection(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys that both have, once each."""
+    return left.select(key).where(F.col(key).isNotNull()).distinct().join(right.select(key), key, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import author_name, is_full_name, split_joined
+from ..functions.text import author_name, is_full_name, may_be_reversed, name_parts, ordered_names, split_joined
 from .rank import latest
 
 
@@ -43,7 +43,7 @@ def relabel(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows: name, title. A name that several people share becomes the name that the table (name, title, new_name) gives it for a title; other
     rows of such a name get none."""
     shared = table.select("name").distinct().withColumn("__s", F.lit(True))
-    got = rows.join(F.broadcast(table), ["name", "title"], "left").join(F.broadcast(shared), "name", "left")
+    got = rows.join(table, ["name", "title"], "left").join(shared, "name", "left")
     return got.withColumn("name", F.when(F.col("__s"), F.col("new_name")).otherwise(F.col("name"))).drop("new_name", "__s")
 
 
@@ -78,7 +78,7 @@ def country_codes(codes: Column, institutions: Column, wrong: list[tuple[str, st
 def author_region(places: DataFrame, institution_region: DataFrame, own_regions: DataFrame) -> DataFrame:
     """places: author, institution, first_year, last_year. The region of the latest institution that has one known; else that of the author's
     countries (own_regions: author, region) if they have just one."""
-    known = latest(places.join(F.broadcast(institution_region), "institution"), "author", "region")
+    known = latest(places.join(institution_region, "institution"), "author", "region")
     only = own_regions.distinct().groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("other")).where("n = 1").drop("n")
     return known.join(only, "author", "full_outer").select("author", F.coalesce("region", "other").alias("region"))
 
@@ -126,3 +126,35 @@ def lone_places(places: DataFrame) -> DataFrame:
     several = F.count(F.lit(1)).over(Window.partitionBy("author")) > 1
     marked = dated.withColumn("a", alone & several & (F.col("papers") == 1))
     return marked.groupBy("author").agg(F.count_if("a").alias("lone"))
+
+
+def union_names(enriched: DataFrame, profiles: DataFrame, name: str = "author") -> DataFrame:
+    """Names that have an enrichment or a profile."""
+    return enriched.select(name).unionByName(profiles.select(name)).where(F.col(name).isNotNull()).distinct()
+
+
+def listed_author_stats(papers: DataFrame, authors: str = "authors", citations: str = "citations") -> DataFrame:
+    """Papers and citations by name for papers that have only a comma list of authors: split, cleaned, full names, once for each time that a list has them."""
+    names = papers.select(F.explode(F.split(F.col(authors), r"\s*,\s*")).alias("n"), F.col(citations).alias("c")).select(author_name(F.col("n")).alias("author"), "c")
+    return names.where(F.col("author").isNotNull() & is_full_name(F.col("author"))).groupBy("author").agg(F.count(F.lit(1)).alias("papers"), F.coalesce(F.sum("c"), F.lit(0)).alias("citations"))
+
+
+def country_of(institution_country: Column, author_countries: Column) -> Column:
+    """The country of the institution shown; without one that of the author, if it is the only one."""
+    return F.coalesce(institution_country, F.when(F.size(author_countries) == 1, F.get(author_countries, F.lit(0))))
+
+
+def distinct_coauthors(authorship: DataFrame) -> DataFrame:
+    """Per author, how many others share a paper; the author is none of them."""
+    own = authorship.select("paper", "author").distinct()
+    pairs = own.join(own.withColumnRenamed("author", "co"), "paper").where("author <> co")
+    return pairs.select("author", "co").distinct().groupBy("author").agg(F.count(F.lit(1)).alias("coauthors"))
+
+
+def ordered_lists(rows: DataFrame, file: str, authors: str, share: float = 0.5) -> DataFrame:
+    """Author lists as "First Last, First Last". A file whose lists look reversed ("Last, First, ...") in at least ``share`` of those with several
+    parts is reversed, and its lists are paired; "Last, First and Last, First" is told by itself."""
+    several = F.size(name_parts(F.col(authors))) > 1
+    vote = rows.where(several).groupBy(file).agg(F.avg(may_be_reversed(F.col(authors)).cast("double")).alias("__v")).select(file, (F.col("__v") >= share).alias("__reversed"))
+    got = rows.join(vote, file, "left")
+    return got.withColumn(authors, ordered_names(F.col(authors), F.coalesce(F.col("__reversed"), F.lit(False)))).drop("__reversed")

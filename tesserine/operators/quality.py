@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def shuffled(seed: int, key: str) -> Column:
+    """The order of a seeded draw: by the MD5 of seed and key, so that other engines can follow it."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
+
+
 def stratified(rows: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows of each stratum in the order of a seeded hash, and a place in the mixed list."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    picked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(h, key))).where(F.col("__r") <= n)
-    return picked.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key))).drop("__r")
+    """``n`` rows of each stratum in the order of a seeded draw, and a place in the mixed list."""
+    from .rank import global_rank
+
+    picked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(shuffled(seed, key), key))).where(F.col("__r") <= n).drop("__r")
+    return global_rank(picked.withColumn("__o", shuffled(seed + 1, key)), [F.asc("__o"), F.asc(key)], "place").drop("__o")
 
 
 def near_threshold(rows: DataFrame, eligible: Column, done: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    return rows.where(eligible).join(done, key, "left_anti").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.where(eligible).join(done, key, "left_anti").orderBy(shuffled(seed, key), key).limit(n)
 
 
 def fuzzy_candidates(queries: DataFrame, targets: DataFrame, text: str, top: int = 3, least: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import significant_words
 from ..scratch import stored
 
 
@@ -84,7 +85,7 @@ def page_label(number: int, size: int, n: int) -> str:
 
 def chart_groups(rows: DataFrame, by: str, n: int, forced: str | None = None) -> DataFrame:
     """The ``n`` largest groups; a forced one that isn't among them takes the last place."""
-    ranked = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), by)))
+    ranked = global_rank(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.asc(by)], "place")
     if forced is None:
         return ranked.where(F.col("place") <= n)
     at = ranked.agg(F.max(F.when(F.col(by) == forced, F.col("place"))).alias("at"))
@@ -116,4 +117,19 @@ def interleaved(rows: DataFrame, by: str, order: list[Column], n: int) -> DataFr
     sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
     due = rows.sparkSession.createDataFrame(list(quotas(sizes, n).items()), f"{by} string, quota long")
     ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.join(F.broadcast(due), by).where(F.col("turn") <= F.col("quota")).drop("quota").orderBy("turn", by)
+    # the constant bound reaches the window as a group limit
+    return ranked.where(F.col("turn") <= n).join(F.broadcast(due), by).where(F.col("turn") <= F.col("quota")).drop("quota").orderBy("turn", by)
+
+
+def shortlist(rows: DataFrame, name: str, words: list[str], n: int = 40, generic: tuple[str, ...] = ()) -> DataFrame:
+    """The ``n`` names that share most significant words with a text, then by name; names that share none aren't candidates."""
+    shared = F.size(F.array_intersect(significant_words(F.col(name), generic), F.array(*[F.lit(w.lower()) for w in words]).cast("array<string>"))) if words else F.lit(0)
+    return rows.select(name, shared.alias("shared")).where("shared > 0").orderBy(F.desc("shared"), name).limit(n)
+
+
+def both_sets(sets: list[DataFrame], order: list[Column], n: int = 50) -> DataFrame:
+    """The top list of several sets together, made anew from all their rows; a column that a set lacks is null there."""
+    whole = sets[0]
+    for s in sets[1:]:
+        whole = whole.unionByName(s, allowMissingColumns=True)
+    return top(whole, order, n)

@@ -23,7 +23,7 @@ def yearly(papers: DataFrame, values: Column, partial_year: int, groups: list[st
         one = one.where(F.col("value").isin(groups))
     counts = one.groupBy("year", "value").agg(F.count(F.lit(1)).alias("k"))
     years = many.groupBy("year").agg(F.count_if(F.size("v") > 0).alias("with_value"))
-    axis = years.crossJoin(F.broadcast(counts.select("value").distinct()))
+    axis = counts.select("value").distinct().crossJoin(F.broadcast(years))
     n = F.coalesce(F.col("k"), F.lit(0)).cast("double")
     if normalise:
         n = F.coalesce(F.round(100 * n / F.nullif(F.col("with_value"), F.lit(0)), 6), F.lit(0.0))

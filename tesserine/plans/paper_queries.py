@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.values import axis_max, client_round, h_index, server_round
-from ..operators import dimension, filters, people, quality, rank, series
+from ..operators import dimension, filters, merge, people, quality, rank, series
 from . import proxies
 from .proxies import ALL
 from .registry import query
@@ -40,11 +40,11 @@ def hindex_by_category(spark, sf_dir):
     return dimension.by_dimension(proxies.papers(spark, sf_dir), F.col("category"), F.col("citations"), name="category").select("category", "h_index")
 
 
-@query("""SELECT o_orderkey % 50 AS reader, (SELECT count(*) FROM (SELECT floor(l2.l_quantity) AS q, row_number() OVER (ORDER BY floor(l2.l_quantity) DESC) AS k
-        FROM lineitem l2 WHERE l2.l_orderkey = o.o_orderkey) WHERE q >= k) AS h FROM orders o WHERE o_orderkey < 50 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""")
+@query("""WITH r AS (SELECT l_orderkey, floor(l_quantity) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_quantity) DESC) AS k FROM lineitem)
+    SELECT l_orderkey AS reader, count(*) FILTER (WHERE q >= k) AS h FROM r GROUP BY l_orderkey""")
 def hindex_array(spark, sf_dir):
-    lines = proxies.table(spark, sf_dir, "lineitem").where("l_orderkey < 50")
-    return lines.groupBy("l_orderkey").agg(h_index(F.collect_list(F.floor("l_quantity"))).alias("h")).select((F.col("l_orderkey") % 50).alias("reader"), "h")
+    lines = proxies.table(spark, sf_dir, "lineitem")
+    return lines.groupBy("l_orderkey").agg(h_index(F.collect_list(F.floor("l_quantity"))).alias("h")).select(F.col("l_orderkey").alias("reader"), "h")
 
 
 @query(f"""{ALL} SELECT paper, venue, year, citations FROM papers p WHERE category = 'F' AND year = 1995 AND citations >= 100
@@ -153,11 +153,11 @@ def year_series_normalized(spark, sf_dir):
     return series.yearly(proxies.credited(spark, sf_dir), F.col("regions"), PARTIAL_YEAR, ["ASIA", "EUROPE"], normalise=True, skip_zeros=True)
 
 
-@query(f"""{_AUTHORS}, c AS (SELECT author, year, count(DISTINCT paper) AS n FROM authorship JOIN papers USING (paper) WHERE paper % 40 = 0 GROUP BY author, year),
+@query(f"""{_AUTHORS}, c AS (SELECT author, year, count(DISTINCT paper) AS n FROM authorship JOIN papers USING (paper) GROUP BY author, year),
     s AS (SELECT author, unnest(generate_series(min(year), max(year))) AS year FROM c GROUP BY author)
     SELECT author, CAST(s.year AS INTEGER) AS year, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (author, year)""")
 def year_gapfill(spark, sf_dir):
-    papers = proxies.papers(spark, sf_dir).where("paper % 40 = 0")
+    papers = proxies.papers(spark, sf_dir)
     own = proxies.authorship(spark, sf_dir).select("paper", "author").distinct().join(papers, "paper")
     return series.dense_years(own.groupBy("author", "year").agg(F.count(F.lit(1)).alias("n")), ["author"])
 
@@ -354,27 +354,39 @@ def country_authors(spark, sf_dir):
     return people.country_authors(proxies.authorship(spark, sf_dir))
 
 
-@query(f"""{ALL}, o AS (SELECT DISTINCT country, paper FROM authorship WHERE paper % 50 = 0) SELECT a.country, b.country AS other, count(*) AS members FROM o a JOIN o b USING (paper) WHERE a.country <> b.country GROUP BY a.country, b.country""")
+@query(f"""{ALL}, o AS (SELECT DISTINCT country, paper FROM authorship) SELECT a.country, b.country AS other, count(*) AS members FROM o a JOIN o b USING (paper) WHERE a.country <> b.country GROUP BY a.country, b.country""")
 def shared_members(spark, sf_dir):
-    return people.roster(proxies.authorship(spark, sf_dir).where("paper % 50 = 0"), "country", "paper")
+    return people.roster(proxies.authorship(spark, sf_dir), "country", "paper")
 
 
-@query(f"""{ALL}, a AS (SELECT paper, list(author ORDER BY position) AS names FROM authorship GROUP BY paper) SELECT paper, len(names) AS listed, len(list_distinct(names)) AS distinct_names FROM a""")
+@query(f"""{ALL}, a AS (SELECT paper, list('Ann ' || translate(substr(author, 10), '0123456789', 'abcdefghij') ORDER BY position, author) AS names FROM authorship GROUP BY paper)
+    SELECT paper, array_to_string(names, ', ') AS names, len(list_distinct(names)) AS distinct_names FROM a""")
 def paper_authors(spark, sf_dir):
-    rows = proxies.credited(spark, sf_dir)
-    return rows.select("paper", F.size("authors").cast("long").alias("listed"), F.size(F.array_distinct("authors")).cast("long").alias("distinct_names"))
+    """The names that a paper credits, in order and with repeats, from detailed lists and comma lists."""
+    spelt = F.concat(F.lit("Ann "), F.translate(F.substring("author", 10, 20), "0123456789", "abcdefghij"))
+    rows = proxies.authorship(spark, sf_dir).groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("position", spelt.alias("name")))).alias("a")).withColumn("names", F.col("a.name"))
+    detail = F.when(F.col("paper") % 2 == 0, F.col("names")).otherwise(F.array().cast("array<string>"))
+    names = people.credited_names(detail, F.array_join("names", ", "))
+    return rows.select("paper", names.alias("n")).select("paper", F.array_join("n", ", ").alias("names"), F.size(F.array_distinct("n")).cast("long").alias("distinct_names"))
+
+
+_PLACED = f"""{ALL}, own AS (SELECT paper, author, region AS institution, CASE WHEN position % 2 = 0 THEN country END AS country FROM authorship),
+    known AS (SELECT r_name AS institution, 'in ' || r_name AS k FROM region WHERE r_name <> 'ASIA'), has AS (SELECT paper, author, count(country) > 0 AS has FROM own GROUP BY paper, author),
+    c AS (SELECT paper, country AS c FROM own WHERE country IS NOT NULL UNION SELECT paper, k FROM own JOIN known USING (institution) JOIN has USING (paper, author) WHERE NOT (institution = 'EUROPE' AND has))"""
 
 
-@query(f"""{ALL}, c AS (SELECT paper, string_agg(DISTINCT country, ',' ORDER BY country) AS countries FROM authorship GROUP BY paper) SELECT paper, countries FROM c""")
+@query(f"""{_PLACED} SELECT paper, string_agg(c, ',' ORDER BY c) AS countries FROM c GROUP BY paper""")
 def paper_countries(spark, sf_dir):
-    return proxies.credited(spark, sf_dir).select("paper", F.array_join("countries", ",").alias("countries"))
+    """A paper's countries: those of its authors, and of their institutions, but for a company's where the author has one."""
+    own = proxies.authorship(spark, sf_dir).select("paper", "author", F.col("region").alias("institution"), F.when(F.col("position") % 2 == 0, F.col("country")).alias("country"))
+    region = proxies.table(spark, sf_dir, "region").select(F.col("r_name").alias("institution"))
+    known = region.where("institution <> 'ASIA'").withColumn("country", F.concat(F.lit("in "), F.col("institution")))
+    return merge.institution_countries(own, known, region.where("institution = 'EUROPE'")).select("paper", F.array_join("countries", ",").alias("countries"))
 
 
-@query(f"""{ALL}, d AS (SELECT a.author, count(DISTINCT b.author) AS coauthors FROM authorship a JOIN authorship b USING (paper) WHERE a.author <> b.author AND a.author <= 'Supplier#000000020' GROUP BY a.author) SELECT * FROM d""")
+@query(f"""{ALL}, a AS (SELECT DISTINCT paper, author FROM authorship) SELECT a.author, count(DISTINCT b.author) AS coauthors FROM a JOIN a b USING (paper) WHERE a.author <> b.author GROUP BY a.author""")
 def distinct_coauthors(spark, sf_dir):
-    own = proxies.authorship(spark, sf_dir).select("paper", "author").distinct()
-    mine = own.where("author <= 'Supplier#000000020'")
-    return mine.join(own.withColumnRenamed("author", "co"), "paper").where("author <> co").groupBy("author").agg(F.countDistinct("co").alias("coauthors"))
+    return people.distinct_coauthors(proxies.authorship(spark, sf_dir))
 
 
 @query("""SELECT o_orderpriority AS venue, CAST(y AS INTEGER) AS year FROM (SELECT o_orderpriority, unnest(generate_series(min(year(o_orderdate)), 2000, 2)) AS y FROM orders GROUP BY 1)
@@ -416,12 +428,15 @@ def two_roundings(spark, sf_dir):
     return proxies.table(spark, sf_dir, "part").select("p_partkey", server_round(quarter).cast("long").alias("even"), client_round(quarter).cast("long").alias("up"))
 
 
-@query()
+@query(f"""{ALL}, p AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY md5('0|' || paper), paper) AS r FROM papers)
+    SELECT paper, venue, row_number() OVER (ORDER BY md5('1|' || paper), paper) AS place FROM p WHERE r <= 20""")
 def stratified_sample(spark, sf_dir):
     return quality.stratified(proxies.papers(spark, sf_dir).select("paper", "venue"), "venue", "paper", 20)
 
 
-@query()
+# three categories, of which the smallest has over 34 papers at each scale, so that 100 places make 34, 33 and 33
+@query(f"""{ALL}, r AS (SELECT paper, category, published, row_number() OVER (PARTITION BY category ORDER BY published DESC, paper) AS turn FROM papers)
+    SELECT paper, category, published, turn FROM r WHERE turn <= CASE WHEN category = (SELECT min(category) FROM papers) THEN 34 ELSE 33 END""")
 def interleaved_sample(spark, sf_dir):
     return rank.interleaved(proxies.papers(spark, sf_dir).select("paper", "category", "published"), "category", [F.desc("published"), F.asc("paper")], 100)
 

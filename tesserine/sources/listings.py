@@ -51,7 +51,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def html_entries(html: Column, entry: str, fields: dict[str, str]) -> Column:
     """An array of structs: the page cut before each match of ``entry``, and from each part the first group of each field's pattern, cleaned; null where it isn't found."""
-    parts = F.slice(F.split(html, rf"(?=(?:{entry}))"), 1, 100_000)
+    parts = F.split(html, rf"(?=(?:{entry}))")
     parts = F.filter(parts, lambda p: p.rlike(rf"^(?:{entry})"))
 
     def field(p: Column, pattern: str) -> Column:

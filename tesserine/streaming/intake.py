@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,3 +75,50 @@ def ingest(spark: SparkSession, path: str, key: str, columns: list[str], folder:
 def kept_runs(runs: DataFrame, order: str, most: int = 24) -> DataFrame:
     """The last runs' figures."""
     return runs.orderBy(F.desc(order)).limit(most)
+
+
+class PageCheckpoint:
+    """Pages of an interrupted harvest, a file each beside a header, so that it goes on where it stopped. Files are written under another name first,
+    and one that is torn ends what is read: it and later pages are fetched again."""
+
+    def __init__(self, spark: SparkSession, folder: str, most_hours: float = 20) -> None:
+        self.spark, self.folder, self.most_hours = spark, folder, most_hours
+        self.jvm = spark.sparkContext._jvm
+        self.path = self.jvm.org.apache.hadoop.fs.Path(folder)
+        self.system = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _write(self, name: str, value: dict) -> None:
+        at, draft = (self.jvm.org.apache.hadoop.fs.Path(self.path, n) for n in (name, f".{name}.draft"))
+        out = self.system.create(draft, True)
+        out.write(json.dumps(value).encode())
+        out.close()
+        self.system.delete(at, False)
+        self.system.rename(draft, at)
+
+    def start(self, window: str, now: datetime) -> None:
+        """Forget earlier pages and begin a harvest of the window."""
+        self.system.delete(self.path, True)
+        self._write("head.json", {"window": window, "saved": now.isoformat()})
+        self.pages = 0
+
+    def add(self, part: str, records: list[dict], token: str | None) -> None:
+        """A page of one part (a set that is harvested by itself), and the token that the next page is asked with; None after the last."""
+        self._write(f"page-{self.pages:08d}.json", {"page": self.pages, "part": part, "records": [json.dumps(r) for r in records], "token": token})
+        self.pages += 1
+
+    def resume(self, window: str, now: datetime) -> tuple[DataFrame, dict[str, str | None]]:
+        """(records, tokens): part, page, pos and record (JSON) of the pages that can be used, and the last token of each part. Nothing if there is no
+        header, it is of another window, or too old. Only tokens, one a part, come to the driver."""
+        pages = self.spark.createDataFrame([], "page long, part string, records array<string>, token string")
+        self.pages = 0
+        if self.system.exists(self.path):
+            files = self.spark.read.option("wholetext", True).text(self.folder).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+            head = files.where("file = 'head.json'").select(F.from_json("value", "window string, saved string").alias("h")).select("h.*").first()
+            fresh = head is not None and head["window"] == window and head["saved"] and now - datetime.fromisoformat(head["saved"]) <= timedelta(hours=self.most_hours)
+            if fresh:
+                read = files.where("file like 'page-%'").select(F.regexp_extract("file", "([0-9]+)", 1).cast("long").alias("number"), F.from_json("value", "page long, part string, records array<string>, token string").alias("p"))
+                torn = read.where("p.page is null or p.records is null").agg(F.min("number").alias("n")).first()["n"]
+                pages = (read if torn is None else read.where(F.col("number") < torn)).select("p.*")
+                self.pages = pages.count()
+        tokens = {r["part"]: r["token"] for r in pages.groupBy("part").agg(F.max_by("token", "page").alias("token")).collect()}
+        return pages.select("part", "page", F.posexplode("records").alias("pos", "record")), tokens

@@ -56,8 +56,10 @@ def test_author_names(spark, name, clean):
 
 def test_author_lists(spark):
     assert one(spark, text.split_joined(F.col("n")), n="Ann Lee, Bob Ray") == ["Ann Lee", "Bob Ray"] and one(spark, text.split_joined(F.col("n")), n="Lee, Ann") == ["Lee, Ann"]
-    assert one(spark, text.paired_names(F.col("n")), n="Lee, Ann, Ray, Bob") == "Ann Lee, Bob Ray" and one(spark, text.paired_names(F.col("n")), n="Lee, Ann, Ray") == "Lee, Ann, Ray"
-    assert one(spark, text.looks_reversed(F.col("n")), n="Lee, Ann, Ray, Bob") and not one(spark, text.looks_reversed(F.col("n")), n="Ann Lee, Bob Ray")
+    ordered = lambda n, r: one(spark, text.ordered_names(F.col("n"), F.lit(r)), n=n)
+    assert ordered("Lee, Ann, Ray, Bob", True) == "Ann Lee, Bob Ray" and ordered("Lee, Ann, Ray", True) == "Lee, Ann, Ray" and ordered("Lee, Ann, Ray, Bob", False) == "Lee, Ann, Ray, Bob"
+    assert ordered("Lee, Ann and Ray, Bob", False) == "Ann Lee, Bob Ray" and ordered("Ann Lee, Bob Ray and Cy Fox", False) == "Ann Lee, Bob Ray, Cy Fox" and ordered("", True) == ""
+    assert one(spark, text.may_be_reversed(F.col("n")), n="Lee, Ann, Ray, Bob") and not one(spark, text.may_be_reversed(F.col("n")), n="Ann Lee, Bob Ray")
     assert one(spark, text.is_full_name(F.col("n")), n="Ann Lee") and not one(spark, text.is_full_name(F.col("n")), n="Some University")
 
 
