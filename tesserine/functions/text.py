@@ -5,15 +5,18 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterable, Mapping
+from functools import cache, reduce
+from operator import or_
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from .addresses import find_addresses, scrub_map, strip_addresses
-from .keys import plain_key, unescape
+from .keys import let, plain_key, unescape
 
 __all__ = ["find_addresses", "scrub_map", "strip_addresses"]
 
@@ -36,20 +39,81 @@ def venue_name(c: Column, aliases: Mapping[str, str]) -> Column:
     return F.coalesce(mapped(F.trim(c), aliases), mapped(plain, aliases), F.when(acronym != "", acronym), plain)
 
 
-def author_name(c: Column) -> Column:
-    """A person's name for crediting: without numbering, markup, titles, degrees, memberships, brackets and list suffixes; "Last, First" turned
-    round; words all in capitals of four letters or more folded. Null if nothing Latin of two letters is left."""
-    c = F.regexp_replace(unescape(c), r"\\[a-zA-Z]+\s*|[{}$^~\\]", "")
-    c = F.regexp_replace(c, r"\([^()]*\)|\[[^\[\]]*\]", " ")
-    c = F.regexp_replace(c, r"(?i)(?:,\s*)?\b(?:(?:senior|student|graduate|life)\s+)*(?:member|fellow)\s*,?\s*IEEE\b|,\s*IEEE\b", "")
-    c = F.regexp_replace(c, r"(?i)(?:,\s*)?\b(?:ph\.?\s?d|m\.?sc|b\.?sc|m\.?d)\b\.?", "")
-    c = F.regexp_replace(c, r"(?i)^\s*(?:(?:prof|dr|mr|mrs|ms)\b\.?\s*(?:-?ing\.?\s*)?)+", "")
-    c = F.regexp_replace(c, r"^[\s\d*†‡,.;:-]+|[\s*†‡,;:]+$", "")
-    c = F.regexp_replace(c, r"[\s\d*†‡]+$", "")
-    c = F.regexp_replace(F.regexp_replace(c, "[’`´]", "'"), r"^([^,]+),\s*([^,]+)$", "$2 $1")
-    fold = F.transform(F.split(squeezed(c), " "), lambda w: F.when(w.rlike(r"^[\p{Lu}'-]{4,}\.?$"), F.initcap(F.lower(w))).otherwise(w))
-    c = F.array_join(fold, " ")
-    return F.when(c.rlike(r"\p{IsLatin}.*\p{IsLatin}") & ~c.rlike(r"[\p{IsHan}\p{IsCyrillic}\p{IsArabic}\p{IsHangul}]"), c)
+# Hyphens and apostrophes that typefaces have, words before a name, degrees and grades behind it, numerals that stay capitals, what isn't said of a person.
+HYPHENS, APOSTROPHES = "‐‑‒–−", "’‘ʼ`´ʹ"
+TITLES = ["prof", "professor", "dr", "dr-ing", "pd", "priv-doz", "doz", "docent", "assoc", "asst", "mr", "mrs", "ms", "mx", "miss"]
+DEGREES = ["phd", "md", "msc", "bsc", "ieee"]
+GRADES = ["member", "members", "fellow", "life", "senior", "student", "graduate"]
+NUMERALS = ["II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"]
+NO_NAME = ["and", "correspond\\w*", "equal\\s+contrib\\w*", "contributed\\s+equally", "co-?\\s?first", "project\\s+lead", "these\\s+authors", "senior\\s+author", "first\\s+author", "contribution"]
+
+
+def words_of(c: Column) -> Column:
+    return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+
+
+def _from_first(items: Column, skipped: Column) -> Column:
+    """An array from the first item on that isn't skipped (an array of booleans beside it); the whole array if all are."""
+    at = F.array_position(skipped, F.lit(False)).cast("int")
+    return F.when(at > 0, F.slice(items, at, F.size(items))).otherwise(items)
+
+
+def _to_last(items: Column, skipped: Column) -> Column:
+    return F.reverse(_from_first(F.reverse(items), F.reverse(skipped)))
+
+
+def _said(word: Column) -> Column:
+    """A word without full stops, in small letters."""
+    return F.lower(F.translate(word, ".", ""))
+
+
+def _folded(word: Column) -> Column:
+    """A word in capitals with the first letter of each of its parts alone in capitals; an initial stays."""
+    capitals = ~word.rlike(r"\p{Ll}") & word.rlike(r"\p{Lu}.*\p{Lu}") & ~word.isin(NUMERALS)
+    apart = F.regexp_replace(word, "([-'.])", "$1 ")
+    return F.when(capitals, F.regexp_replace(F.initcap(F.lower(apart)), "([-'.]) ", "$1")).otherwise(word)
+
+
+def author_name(c: Column, known: Mapping[str, str] | None = None) -> Column:
+    """A person's name for crediting, or null if nothing of the kind is left.
+
+    In order: entities and hyphens; what follows markup or an address goes; numbering and titles before it; degrees and grades behind commas;
+    marks and digits at the end; "Last, First" turned round, other commas cut; nicknames; ``known`` spellings; apostrophes
+    but before a capital; acronyms glued on; capitals folded; then only Latin letters may be left, and no phrase about authors.
+    """
+    c = F.translate(F.translate(unescape(c), HYPHENS, "-" * len(HYPHENS)), APOSTROPHES, "'" * len(APOSTROPHES))
+    c = F.regexp_replace(F.get(F.split(c, r"[\\{}@]", 2), F.lit(0)), r"(?i)\d*footnotemark.*$", "")
+    before = lambda w, k: _said(w).isin(TITLES) | w.rlike(r"^\d+(?:st|nd|rd|th)$") | w.isin("and", "AND") | ((k > 0) & (_said(w) == "em"))
+    c = let(words_of(c), lambda words: F.array_join(_from_first(words, F.transform(words, before)), " "))
+    c = let(let(c, _without_tail), lambda c: squeezed(F.regexp_replace(c, r"\([^()]*\)?|\[[^\[\]]*\]?|[\"“][^\"”]*[\"”]?", " ")))
+    if known:
+        c = let(c, lambda c: F.coalesce(mapped(c, known), c))
+    c = F.regexp_replace(F.regexp_replace(c, r"'(?!\p{Lu})", ""), r"(?<=\p{Ll})\p{Lu}{2,}\S*", "")
+    c = F.array_join(F.transform(words_of(c), lambda w, k: F.when((k > 0) & w.isin(NUMERALS), w).otherwise(_folded(w))), " ")
+    if known:
+        c = let(c, lambda c: F.coalesce(mapped(c, known), c))
+    no_name = r"(?i)\b(?:" + "|".join(NO_NAME) + r")\b"
+    return let(c, lambda c: F.when(c.rlike(r"^[\p{IsLatin}\p{M} .'-]+$") & c.rlike(r"\p{IsLatin}.*\p{IsLatin}") & ~c.rlike(no_name), c))
+
+
+def _without_tail(c: Column) -> Column:
+    """A name without degrees, grades, marks and places behind it, turned round if its last name comes first."""
+    parts = F.transform(F.split(c, ","), lambda p: F.trim(F.regexp_replace(p, r"[\s\d*∗†‡§¶‖·\p{So}\p{Sk}\p{Sm}\p{No}]+$", "")))
+    said = lambda p: F.translate(_said(p), " ", "")
+    grade = lambda p: F.forall(words_of(p), lambda w: _said(w).isin([*GRADES, "ieee", "and"]))
+    kept = F.filter(parts, lambda p: (p != "") & ~said(p).isin(DEGREES) & ~grade(p))
+    graded = c.rlike(r"(?i)\b(?:members?|fellow)\s*,|\bIEEE\b")
+
+    def ungraded(words: Column) -> Column:
+        return F.array_join(F.when(graded, _to_last(words, F.transform(words, lambda w: _said(w).isin([*GRADES, "ieee"])))).otherwise(words), " ")
+
+    def turned(parts: Column) -> Column:
+        head, other = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        n, m = F.size(words_of(head)), F.size(words_of(other))
+        reversed_ = (F.size(parts) == 2) & (((n == 1) & (m <= 3)) | ((n == 2) & (m == 1) & (F.upper(other) != other) & ~other.contains(".")))
+        return F.when(reversed_, F.concat_ws(" ", other, head)).otherwise(head)
+
+    return let(F.transform(kept, lambda p, k: F.when(k == 0, let(words_of(p), ungraded)).otherwise(p)), turned)
 
 
 def split_joined(c: Column) -> Column:
@@ -66,7 +130,7 @@ def is_full_name(c: Column) -> Column:
 
 def name_parts(c: Column) -> Column:
     """What commas part, without blanks around and empty parts."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def joined_parts(c: Column) -> Column:
@@ -101,16 +165,38 @@ def ordered_names(c: Column, reversed_list: Column) -> Column:
     return F.when(is_joined_reversed(c), turned).when(F.size(joined) > 1, plain).when(paired, pairs).otherwise(c)
 
 
+# Country names besides those of ISO 3166 in English, and legal forms.
+MORE_COUNTRIES = ["USA", "U.S.A", "US", "UK", "U.K", "China", "P.R. China", "PR China", "P. R. China", "People's Republic of China", "Korea", "Republic of Korea", "South Korea", "Russia", "Taiwan", "R.O.C", "Hong Kong", "Macau", "Vietnam", "Iran", "The Netherlands", "Czech Republic", "Turkey"]
+LEGAL_FORMS = ["inc", "ltd", "llc", "gmbh", "corp", "co", "co ltd", "limited", "incorporated", "ag", "bv", "plc", "srl", "spa", "sa"]
+
+
+@cache
+def country_names() -> tuple[str, ...]:
+    """The English names of the countries of ISO 3166, and MORE_COUNTRIES."""
+    jvm = SparkContext._active_spark_context._jvm.java.util
+    names = {str(jvm.Locale("", c).getDisplayCountry(jvm.Locale.ENGLISH)) for c in jvm.Locale.getISOCountries()}
+    return tuple(sorted(names | set(MORE_COUNTRIES)))
+
+
+def repaired_letters(c: Column) -> Column:
+    """Letters that were read as two of another encoding, put right; other texts as they are."""
+    twice = c.rlike(r"^(?:[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF])*$") & c.rlike(r"[\xC2-\xDF]")
+    return F.when(twice, F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+
+
 def institution(c: Column, by_hand: Mapping[str, str], learnt: Mapping[str, str]) -> Column:
-    """An institution's name without addresses, footnotes, postcodes, country and legal endings; then through the table by hand, the learnt one, and that by hand again."""
-    c = strip_addresses(unescape(c), keep_domain=False)
+    """An institution's name: letters put right, without addresses, footnotes, postcodes, and countries and legal forms at its end; then through
+    the table by hand, the learnt one, and that by hand again."""
+    c = strip_addresses(let(unescape(c), repaired_letters), keep_domain=False)
     c = F.regexp_replace(c, r"^[\s\d*†‡§,.;:()-]+|[\s*†‡§,;:(-]+$", "")
-    c = F.regexp_replace(c, r"(?i),\s*(?:USA|U\.S\.A\.|United States|China|P\.?\s?R\.? China|Germany|France|UK|United Kingdom|Japan|Korea|Canada)\.?\s*$", "")
-    c = F.regexp_replace(c, r"(?i)[,\s]+(?:inc|ltd|llc|gmbh|corp|co)\.?\s*$", "")
-    c = squeezed(F.regexp_replace(c, r"\b\d{4,6}\b", ""))
-    once = F.coalesce(mapped(c, by_hand), c)
-    twice = F.coalesce(mapped(once, learnt), once)
-    return F.coalesce(mapped(twice, by_hand), twice)
+    parts = F.filter(F.transform(F.split(c, ","), lambda p: squeezed(F.regexp_replace(p, r"(?<![\w-])(?:[A-Z]{1,2}-)?\d{4,6}(?![\w-])", " "))), lambda p: p != "")
+    behind = lambda p: F.btrim(p, F.lit(". ")).isin([*country_names()]) | _said(p).isin(LEGAL_FORMS)
+    legal = lambda w, k: (k > 0) & _said(w).isin(LEGAL_FORMS)
+    c = let(parts, lambda parts: F.array_join(_to_last(parts, F.transform(parts, behind)), ", "))
+    c = let(words_of(c), lambda words: F.btrim(F.array_join(_to_last(words, F.transform(words, legal)), " "), F.lit(" ,")))
+    for table in (by_hand, learnt, by_hand):
+        c = let(c, lambda c, table=table: F.coalesce(mapped(c, table), c))
+    return c
 
 
 INSTITUTION = r"(?i)\b(?:universit\w*|institut\w*|college|polytechnic\w*|school|academy|laborator\w*|labs?|research|center|centre|hospital|ETH|MIT|EPFL|KAIST)\b"
@@ -122,12 +208,38 @@ def split_institutions(c: Column) -> Column:
     return F.when((F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(INSTITUTION)), parts).otherwise(F.array(c))
 
 
+def no_institution(c: Column) -> dict[str, Column]:
+    """Why a value isn't an institution, by name: each a condition."""
+    words, shaped = words_of(c), c.rlike(INSTITUTION)
+    countries = [*country_names()]
+    first, last = F.rtrim(F.get(words, F.lit(0)), F.lit(".,")), F.btrim(F.element_at(F.split(c, ","), -1), F.lit(" ."))
+    uneven = lambda x, y: F.length(F.translate(c, x, "")) != F.length(F.translate(c, y, ""))
+    return {
+        "too short": F.length(c) < 2,
+        "no letters": ~c.rlike(r"\p{L}"),
+        "a link": c.rlike(r"https?://|www\."),
+        "a domain": c.rlike(r"^\S+\.[a-z]{2,4}$"),
+        "an address": c.contains("@") | c.rlike(r"(?i)\be-?mails?\b|\[at\]|\(at\)"),
+        "a footnote": c.rlike(r"(?i)footnote|\bwork (?:was )?done\b|\bcorrespond\w+ author|\bequal\w* contribut|\bproject (?:lead|page)\b"),
+        "thanks": c.rlike(r"(?i)\b(?:supported|funded|provided|sponsored|acknowledg\w*|grant)\b"),
+        "a sentence": c.rlike(r"(?i)^(?:and|the authors?|of|with|we|this|these|is|are|was)\b|\b(?:is|are|was|were) (?:with|at|from)\b") | (F.size(words) > 15),
+        "a person": c.rlike(r"^(?:\p{Lu}\. ?)+\p{Lu}\p{Ll}+$"),
+        "a street": c.rlike(r"(?i)^\d+[a-z]?\s|\b(?:street|avenue|road|box|floor|boulevard)\b|stra(?:ss|ß)e\s*\d|\bstr\.\s*\d"),
+        "a postcode": c.rlike(r"^[A-Z]{2},? \d{5}\b|\b\d{5}(?:-\d{4})?$|^[A-Z]-\d{4,5}\b|^[A-Z]\d[A-Z] ?\d[A-Z]\d$"),
+        "a number": c.rlike(r"\d{6}") | (c.rlike(r"^\p{L}+\.? \d{1,4}$") & ~shaped),
+        "a part": c.rlike(r"(?i)^(?:department|dept\.?|faculty|school|division|chair) of\b") & ~c.rlike(r"(?i)universit|institute of technology"),
+        "a country": c.isin(countries),
+        "a place": ~shaped & ((c.contains(",") & last.isin(countries)) | (first.isin(countries) & (F.size(words) <= 4))),
+        "lost letters": c.contains("�") | c.contains("\\"),
+        "half a bracket": uneven("(", ")") | uneven("[", "]"),
+    }
+
+
 def valid_institution(c: Column, always: Iterable[str] = (), never: Iterable[str] = ()) -> Column:
-    """False for what isn't an institution: too short, a number, an address or link, a street, a department alone, a sentence, a listed value."""
-    bad = (F.length(c) < 2) | c.rlike(r"^[\W\d_]+$") | c.rlike(r"@|https?://|www\.") | c.rlike(r"(?i)^\d+\s|\b(?:street|avenue|road|box|floor)\b") | c.rlike(r"(?i)^(?:department|dept\.?|faculty|school) of \w+$") | c.rlike(r"(?i)^(?:and|the|of|with|we|this)\b") | (F.size(F.split(c, " ")) > 15)
-    never = [*never]
+    """Whether a value is an institution: listed as always one; else not listed as never one, and for none of the reasons of no_institution not one. Null isn't."""
+    bad = reduce(or_, no_institution(c).values())
+    never, always = [*never], [*always]
     bad = bad | c.isin(never) if never else bad
-    always = [*always]
     return F.coalesce((c.isin(always) if always else F.lit(False)) | ~bad, F.lit(False))
 
 
@@ -218,12 +330,12 @@ def without_senses(c: Column, phrases: Iterable[str]) -> Column:
 
 
 # Macros that stand for a sign, and raised and lowered digits.
-SIGNS = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "theta": "θ", "omega": "ω", "times": "×", "pm": "±", "leq": "≤", "geq": "≥", "approx": "≈", "infty": "∞", "rightarrow": "→", "cdot": "·", "sim": "∼"}
+SIGNS = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "theta": "θ", "omega": "ω", "times": "×", "pm": "±", "leq": "≤", "geq": "≥", "approx": "≈", "infty": "∞", "rightarrow": "→", "cdot": "·", "sim": "∼", "eta": "η", "kappa": "κ", "nu": "ν", "xi": "ξ", "rho": "ρ", "tau": "τ", "phi": "φ", "chi": "χ", "psi": "ψ", "Delta": "Δ", "Sigma": "Σ", "Omega": "Ω", "Phi": "Φ", "le": "≤", "ge": "≥", "neq": "≠", "to": "→", "in": "∈", "cup": "∪", "cap": "∩", "circ": "°", "ell": "ℓ", "ldots": "…", "dots": "…", "nabla": "∇", "partial": "∂", "sum": "∑", "equiv": "≡", "propto": "∝"}
 _UP, _DOWN = str.maketrans("0123456789+-n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻ⁿ"), str.maketrans("0123456789+-", "₀₁₂₃₄₅₆₇₈₉₊₋")
 
 
 def plain_math(text: str) -> str:
-    """$...$ spans in plain signs: macros of SIGNS, wrappers such as \\mathbf{x}, raised and lowered digits. Unknown macros stay as written."""
+    """Formulas ($...$, $$...$$, \\(...\\) and \\[...\\]) in plain signs; sums of money aren't formulas: macros of SIGNS, wrappers such as \\mathbf{x}, raised and lowered digits. Unknown macros stay as written."""
 
     def group(s: str, i: int) -> tuple[str, int]:
         if i < len(s) and s[i] == "{":
@@ -259,7 +371,12 @@ def plain_math(text: str) -> str:
                 i += 1
         return "".join(out)
 
-    return re.sub(r"\$([^$]+)\$", lambda m: turn(m[1]), text)
+    def span(m: re.Match) -> str:
+        inner = next(x for x in m.groups() if x is not None)
+        money = m[0][1] != "$" and m[0][0] == "$" and inner[0].isdigit() and " " in inner and not set("\\^_=") & set(inner)
+        return m[0] if money else turn(inner)
+
+    return re.sub(r"\$\$(.+?)\$\$|\\\((.+?)\\\)|\\\[(.+?)\\\]|\$([^$]+)\$", span, text, flags=re.DOTALL)
 
 
 @pandas_udf(StringType())

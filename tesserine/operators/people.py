@@ -35,7 +35,7 @@ def without_leaks(candidates: Column, coauthors: Column, most: int = 25) -> Colu
 def credited_names(detail: Column, listed: Column) -> Column:
     """Names to credit, in order and with repeats: the detailed list if there is one, else the comma list; split, cleaned, full names only."""
     raw = F.when(F.size(detail) > 0, detail).otherwise(F.split(listed, r",\s*"))
-    names = F.transform(F.flatten(F.transform(raw, split_joined)), author_name)
+    names = F.transform(F.flatten(F.transform(raw, split_joined)), lambda n: author_name(n))
     return F.filter(names, lambda n: n.isNotNull() & is_full_name(n))
 
 

@@ -62,5 +62,5 @@ def missing_work(rows: DataFrame, missing: Column, key: str, *by: str) -> DataFr
     return rows.where(missing).groupBy(*by).agg(F.array_sort(F.collect_set(key)).alias("keys"))
 
 
-def fetch_order(rows: DataFrame, cites: str, title: str) -> list[Column]:
+def fetch_order(cites: str, title: str) -> list[Column]:
     return [F.desc_nulls_last(cites), F.asc(title)]

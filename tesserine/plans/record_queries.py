@@ -73,15 +73,14 @@ def display_titles(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", keys.clean_title(shown).alias("title"), keys.unescaped_key(both, every=True).alias("key"), raw.alias("raw")).drop("raw")
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'name ' || s_nationkey % 3 || CASE WHEN s_suppkey % 3 = 0 THEN ' (a)' ELSE ' (b)' END WHEN s_nationkey % 3 = 2 THEN 'name 2' END AS name FROM supplier""")
+@query("""WITH o AS (SELECT s_suppkey, 'name ' || s_nationkey % 3 AS name FROM supplier), t AS (SELECT s_suppkey, name, name || CASE WHEN s_suppkey % 3 = 0 THEN ' (a)' ELSE ' (b)' END AS new_name FROM o WHERE s_suppkey % 4 = 0 AND name <> 'name 2')
+    SELECT o.s_suppkey, CASE WHEN o.name IN (SELECT name FROM t) THEN t.new_name ELSE o.name END AS name FROM o LEFT JOIN t ON t.s_suppkey = o.s_suppkey""")
 def identity_relabel(spark, sf_dir):
     """Names 0 and 1 are shared by several people, whom titles tell apart; name 2 is one person's."""
     key = F.col("s_suppkey")
     own = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("name "), (F.col("s_nationkey") % 3).cast("string")).alias("name"), key.cast("string").alias("title"))
-    table = own.where((key % 4 == 0)).select("name", "title", F.concat("name", F.when(key % 3 == 0, " (a)").otherwise(" (b)")).alias("new_name"))
-    table = table.where("name <> 'name 2'")
-    got = people.relabel(own, table)
-    return got.select("s_suppkey", F.when((key % 4 == 0) & (F.col("name") == "name 2"), F.concat("name", F.when(key % 3 == 0, " (a)").otherwise(" (b)"))).otherwise(F.col("name")).alias("name"))
+    table = own.where((key % 4 == 0) & (F.col("name") != "name 2")).select("name", "title", F.concat("name", F.when(key % 3 == 0, " (a)").otherwise(" (b)")).alias("new_name"))
+    return people.relabel(own, table).select("s_suppkey", "name")
 
 
 @query(f"""{ALL} SELECT paper FROM papers WHERE CASE WHEN paper % 3 = 0 THEN 'mismatch' WHEN paper % 3 = 1 THEN 'match' END IS DISTINCT FROM 'mismatch'""")
@@ -185,7 +184,7 @@ def researchers(spark, sf_dir):
 def fetch_queue(spark, sf_dir):
     counts = graph.in_degree(proxies.edges(spark, sf_dir)).withColumnRenamed("cited", "paper")
     rows = _papers(spark, sf_dir).select("paper").join(counts, "paper", "left")
-    return rank.global_rank(rows, quality.fetch_order("citers", "paper"), "turn").select("paper", "turn")
+    return rank.global_rank(rows, quality.fetch_order(cites="citers", title="paper"), "turn").select("paper", "turn")
 
 
 @query(f"""{ALL} SELECT paper FROM papers WHERE category = 'O' AND venue <> '5-LOW' AND paper NOT IN (SELECT doc_id FROM labels) ORDER BY md5('0|' || paper), paper LIMIT 200""")

@@ -49,11 +49,42 @@ def test_numbers(spark):
     assert one(spark, values.share(F.lit(1), F.lit(0)), t="a") is None
 
 
-@pytest.mark.parametrize(("name", "clean"), [("Prof. Dr. Jane Doe", "Jane Doe"), ("Doe, Jane", "Jane Doe"), ("JANE O'NEILL", "Jane O'neill"), ("John Smith 0002", "John Smith"), ("John Smith, Senior Member, IEEE", "John Smith"), ("Ann Lee (MIT)", "Ann Lee"), ("清华", None), ("Li Wei, Ph.D.", "Li Wei")])
+@pytest.mark.parametrize(("name", "clean"), [("Prof. Dr. Jane Doe", "Jane Doe"), ("Doe, Jane", "Jane Doe"), ("JANE O'NEILL", "Jane O'Neill"), ("John Smith 0002", "John Smith"), ("John Smith, Senior Member, IEEE", "John Smith"), ("Ann Lee (MIT)", "Ann Lee"), ("清华", None), ("Li Wei, Ph.D.", "Li Wei")])
 def test_author_names(spark, name, clean):
     assert one(spark, text.author_name(F.col("n")), n=name) == clean
 
 
+NAMES = [
+    ("Marius Z&#39;llner", "Marius Zllner"), ("Yi‐Ting Chen", "Yi-Ting Chen"), ("Zhan Qu11footnotemark: 1", "Zhan Qu"), ("Jianbing Shen♠", "Jianbing Shen"), ("Raquel Urtasun1,2", "Raquel Urtasun"), ("JONATHAN W. LEE*,1", "Jonathan W. Lee"),
+    ("Andrea Stocco 2,4", "Andrea Stocco"), ("Duc-Khai Lam23", "Duc-Khai Lam"), ("Yang, Ming-Hsuan", "Ming-Hsuan Yang"), ("Keil, C", "C Keil"), ("Prof. Em. Eduardo Nebot", "Eduardo Nebot"), ("Mr Zhang Guangjian", "Zhang Guangjian"), ("Drew Smith", "Drew Smith"),
+    ("1st Ann Lee", "Ann Lee"), ("and Bob Ray", "Bob Ray"), ("Fernando Garcia Member, IEEE", "Fernando Garcia"), ("Senior Member, IEEE", None), ("Jane Doe, Ph.D.", "Jane Doe"), ("Ze'an Liu", "Zean Liu"), ("Sean O'Connor", "Sean O'Connor"),
+    ("Artem SavkinTUM, BMW", "Artem Savkin"), ("Shaocheng JIA", "Shaocheng Jia"), ("John W. Fisher III", "John W. Fisher III"), ("Chun-Fu (Richard) Chen", "Chun-Fu Chen"), ("John Smith 0002", "John Smith"), ("Name{a.b,c.d}@place.edu", "Name"), ("王伟", None), ("These authors contributed", None), ("", None),
+]
+
+
+def test_more_author_names(spark):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(NAMES)], "k int, raw string, clean string")
+    wrong = [(r["raw"], r["got"]) for r in df.withColumn("got", text.author_name(F.col("raw"))).collect() if r["got"] != r["clean"]]
+    assert wrong == []
+    assert one(spark, text.author_name(F.col("n"), {"A. Knoll": "Alois Knoll"}), n="A. Knoll") == "Alois Knoll"
+
+
+INVALID = ["Bulgaria", "University of X (", "Spain[[ahmed", "A \\dagger B", "phone 1234567", "T6G 1H9", "B-1050 Brussels", "Technická 8", "Taipei, Taiwan", "Taiwan R.O.C", "44227 Dortmund", "Universit� X", "J. Smith", "Email: x", "work done at Y", "supported by the fund", "12 Main Street", "x.org", "We are with X", None]
+VALID = ["ETH Zurich", "University at Buffalo (SUNY)", "Technology and Research (A*STAR)", "Bosch", "National Taiwan University", "University of Michigan, USA", "Institute 8"]
+
+
+def test_what_is_an_institution(spark):
+    df = spark.createDataFrame([(x,) for x in [*INVALID, *VALID]], "v string").select("v", text.valid_institution(F.col("v")).alias("ok"))
+    assert {r["v"] for r in df.collect() if r["ok"]} == set(VALID)
+    name = lambda v: one(spark, text.institution(F.col("t"), {}, {}), t=v)
+    assert [name(v) for v in ("UniversitÃ© Laval, 12345 Quebec, Canada", "Acme Motors Co., Ltd., P.R. China", "KIT, 76131 Karlsruhe", "† Lab X a.b@x.edu")] == ["Université Laval, Quebec", "Acme Motors", "KIT, Karlsruhe", "Lab X"]
+
+
+def test_formulas(spark):
+    plain = lambda v: one(spark, text.latex_to_plain("t"), t=v)
+    assert [plain(v) for v in ("\\(x_1 \\neq y\\)", "$$\\Delta t$$", "\\[a^2\\]", "costs $5 and $10 more")] == ["x₁ ≠ y", "Δ t", "a²", "costs $5 and $10 more"]
+
+
 def test_author_lists(spark):
     assert one(spark, text.split_joined(F.col("n")), n="Ann Lee, Bob Ray") == ["Ann Lee", "Bob Ray"] and one(spark, text.split_joined(F.col("n")), n="Lee, Ann") == ["Lee, Ann"]
     ordered = lambda n, r: one(spark, text.ordered_names(F.col("n"), F.lit(r)), n=n)
