@@ -96,28 +96,39 @@ def coverage_figures(papers: DataFrame, edges: DataFrame, eligible: Column) -> D
     return papers.agg(F.count_if(eligible).alias("eligible")).crossJoin(scanned.agg(F.count(F.lit(1)).alias("scanned"))).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
-def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (node, root) for all nodes (column node); root is the smallest node reachable over edges (a, b).
+def star_components(edges: DataFrame) -> DataFrame:
+    """Rows (node, root) for the nodes of edges (a, b); root is the smallest node reachable. Self-loops and repeated edges are harmless.
 
-    Alternates large-star and small-star steps on stored tables until nothing changes; a round collects a count and a checksum.
+    Alternates large-star and small-star steps on stored tables until nothing changes; a round collects a count and a checksum. A
+    star's centre may have a third of all edges: the joins are on a key that nothing is grouped by, so that both sides are exchanges of their
+    own, which Spark splits where a partition is skewed.
     """
 
     def mark(df: DataFrame) -> tuple:
         r = df.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         return r["n"], r["x"]
 
+    key = F.xxhash64("a").alias("__k")
+
+    def with_least(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("a").agg(F.min("b").alias("m")).select(key, F.col("a").alias("__a"), "m")
+        return rows.select(key, "a", "b").join(least, "__k").where("a = __a")
+
     now = stored(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "graph")
     seen = mark(now)
     while seen[0]:
-        both = now.unionByName(now.selectExpr("b a", "a b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.join(low, "a").where("b > a").selectExpr("b a", "m b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = stored(large.join(small, "a").where("b <> m").selectExpr("b a", "m b").unionByName(small.selectExpr("a", "m b")).distinct(), "graph")
+        large = with_least(now.unionByName(now.selectExpr("b a", "a b"))).where("b > a").selectExpr("b a", "least(a, m) b").distinct()
+        small = with_least(large)
+        now = stored(small.where("b <> m").selectExpr("b a", "m b").unionByName(large.groupBy("a").agg(F.min("b").alias("b"))).distinct(), "graph")
         if (after := mark(now)) == seen:
             break
         seen = after
-    return nodes.select("node").distinct().join(now.selectExpr("a node", "b root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return now.selectExpr("a node", "b root").unionByName(now.selectExpr("b node", "b root").distinct())
+
+
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """star_components for all of ``nodes`` (column node): one without edges is its own root."""
+    return nodes.select("node").distinct().join(star_components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def paper_clusters(authorship: DataFrame) -> DataFrame:

@@ -434,6 +434,6 @@ def institution_shapes(spark, sf_dir):
 @query()
 def intake_chained(spark, sf_dir):
     """Outcomes of a batch in which ids and keys repeat and conflict in chains; SQL has no such fold, a test goes row by row."""
-    batch = _table(spark, sf_dir, "events").select((F.col("event_id") % 701).alias("id"), (F.col("user_id") * 7 % 997).alias("key"), F.year("ts").alias("year"), F.col("event_id").alias("pos"), "event_type")
+    batch = _table(spark, sf_dir, "events").select((F.col("event_id") % 701).alias("id"), (F.col("user_id") * 5 % 997).alias("key"), F.year("ts").alias("year"), F.col("event_id").alias("pos"), "event_type")
     ids, known = batch.where("id % 11 = 0").select("id"), batch.where("key % 7 = 0").select("key")
     return merge.intake(batch, 1900, F.col("event_type").isin("click", "purchase", "view"), F.col("event_type") == "error", ids, known).select("pos", "id", "key", "event_type", "outcome")

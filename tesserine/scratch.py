@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """As ``spark.checkpoint.dir`` names it; a local one only where that is unset."""
+    """As ``spark.checkpoint.dir`` names it. Where that is unset a local one, but only if driver and executors are one process: on a cluster it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = getattr(spark.sparkContext, "_tesserine_folder", None) or "file://" + tempfile.mkdtemp(prefix="tesserine-")
         spark.sparkContext._tesserine_folder = named
     return named.rstrip("/")

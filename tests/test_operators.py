@@ -291,3 +291,121 @@ def test_scratch_follows_the_session(spark):
     with pytest.raises(Exception, match=r"(?i)exist|found"):
         table.collect()
     assert one != two and (not named or one.startswith(named.rstrip("/")))
+
+
+def test_intake_goes_row_by_row(spark, small_dir):
+    from tesserine.plans import QUERIES
+
+    rows = sorted(QUERIES["intake_chained"](spark, small_dir).collect())
+    ids, keys = set(), set()
+    for r in rows:
+        if r["id"] % 11 == 0:
+            due = "seen"
+        elif r["event_type"] == "error":
+            due = "withdrawn"
+        elif r["event_type"] not in ("click", "purchase", "view"):
+            due = "off_topic"
+        elif r["key"] % 7 == 0:
+            due = "known"
+        elif r["id"] in ids or r["key"] in keys:
+            due = "repeated"
+        else:
+            due = "accepted"
+            ids.add(r["id"])
+            keys.add(r["key"])
+        assert r["outcome"] == due
+    assert {r["outcome"] for r in rows} >= {"repeated", "accepted", "known"}
+
+
+def test_chained_repeats(spark):
+    batch = spark.createDataFrame([(1, "X", 2020, 1), (2, "X", 2020, 2), (2, "Y", 2020, 3), (3, "Y", 2020, 4), (3, "Z", 2020, 5), (None, None, 2020, 6), (None, None, 2020, 7)], "id long, key string, year int, pos long")
+    got = merge.intake(batch, 2000, F.lit(True), F.lit(False), batch.limit(0).select("id"), batch.limit(0).select("key"))
+    assert [r["outcome"] for r in got.orderBy("pos").collect()] == ["accepted", "repeated", "accepted", "repeated", "accepted", "accepted", "accepted"]
+
+
+def test_passages_cited_as_a_plain_search_finds_them(spark, small_dir):
+    import re
+
+    from tesserine.plans import QUERIES
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").collect()
+    items = spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()
+    due = set()
+    for d in docs:
+        if d["text"]:
+            entry = matcher.Entry(d["text"])
+            titles = []
+            for i in items:
+                key = re.sub("[^a-z0-9]", "", i["text"].lower())
+                titles.append((key, len(re.findall("[A-Za-z0-9]+", i["text"])) < 3 or len(key) < 15, None, None))
+            due |= {(d["doc_id"], k) for k in entry.cited(titles)}
+    assert {tuple(r) for r in QUERIES["benchmark_cited"](spark, small_dir).select("citer", "cited").collect()} == due
+
+
+def test_look_up_halves_a_refused_batch():
+    from tesserine.sources import lookup
+
+    asked = []
+
+    def fetch(ids):
+        asked.append(ids)
+        if "bad" in ids:
+            raise lookup.Refused()
+        if ids == ["x9"]:
+            raise lookup.Refused(unknown=True)
+        return [x.upper() for x in ids]
+
+    got, counts = lookup.look_up(fetch, ["a", "b", "!", "bad", "c", "d"], lambda x: x != "!")
+    assert got == ["A", "B", None, None, "C", "D"] and counts == {"skipped": 1, "rejected": 1} and all("!" not in ids for ids in asked)
+    assert lookup.look_up(fetch, ["x9"], bool)[1]["unknown"] == 1 and lookup.look_up(fetch, [], bool)[0] == []
+    with pytest.raises(KeyError):
+        lookup.look_up(lambda ids: {}[0], ["a"], bool)
+
+
+def test_harvest_goes_on_where_it_stopped(spark):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import SparkSession  # noqa: F401
+
+    now = datetime(2026, 9, 28, 12)
+    folder = scratch_path(spark, "pages")
+    book = intake.PageCheckpoint(spark, folder)
+    assert book.resume("w", now)[1] == {}
+    book.start("w", now)
+    book.add("cs", [{"id": 1}, {"id": 2}], "t1")
+    book.add("ee", [{"id": 3}], None)
+    book.add("cs", [{"id": 4}], "t2")
+    rows, tokens = intake.PageCheckpoint(spark, folder).resume("w", now + timedelta(hours=19))
+    assert tokens == {"cs": "t2", "ee": None} and sorted(r["record"] for r in rows.collect()) == ['{"id": 1}', '{"id": 2}', '{"id": 3}', '{"id": 4}']
+    assert intake.PageCheckpoint(spark, folder).resume("other", now)[1] == {} == intake.PageCheckpoint(spark, folder).resume("w", now + timedelta(hours=21))[1]
+    # a torn page: it and what came after don't count
+    path = folder.removeprefix("file://")
+    with open(f"{path}/page-00000001.json", "w") as f:
+        f.write('{"page": 1, "part": "ee", "rec')
+    import os
+
+    crc = f"{path}/.page-00000001.json.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    again = intake.PageCheckpoint(spark, folder)
+    rows, tokens = again.resume("w", now)
+    assert tokens == {"cs": "t1"} and rows.count() == 2 and again.pages == 1
+    again.add("ee", [{"id": 5}], "t3")
+    assert intake.PageCheckpoint(spark, folder).resume("w", now)[1] == {"cs": "t2", "ee": "t3"}
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tesserine.scratch import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)
+
+
+def test_a_hot_centre_of_a_star(spark):
+    rows = [(1_000_000, k) for k in range(3000)] + [(k, k + 1) for k in range(5000, 5040)] + [(7, 7), (-5, 3)]
+    got = {r["node"]: r["root"] for r in graph.star_components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got[1_000_000] == got[2999] == got[-5] == -5 and got[5040] == 5000 and len(got) == 3001 + 41 + 1
