@@ -1,11 +1,12 @@
 """What the training-data operators share: input selection, scratch tables in the
-cluster's shared folder, and exact connected components."""
+cluster's shared folder, and exact connected components, which are those of the graph operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import star_components as components
 from ..scratch import scratch_path, shared_folder, stored
 
 __all__ = ["blobs", "bounded_batches", "components", "held_out", "quoted", "scratch_path", "shared_folder", "stored", "texts"]
@@ -39,30 +40,3 @@ def bounded_batches(spark: SparkSession) -> None:
 def held_out(id_col: Column, folds: int, fold: int = 1) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` when divided by ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
-
-
-def _signature(df: DataFrame) -> tuple:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-    return row["n"], row["x"]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the edges (a, b), both long: rows (node, root), root being the smallest node reachable.
-
-    Alternating large-star and small-star steps until nothing changes. Every step is joins and partial
-    aggregates on edges alone, each round is a written table, and no round collects more than a count and a checksum.
-    An empty input gives an empty result; self-loops and repeated edges are harmless.
-    """
-    now = stored(edges.select("a", "b").where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
-    seen = _signature(now)
-    while seen[0]:
-        both = now.unionByName(now.selectExpr("b a", "a b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.join(least, "a").where("b > a").selectExpr("b a", "m b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a").where("b <> m").selectExpr("b a", "m b")
-        now = stored(moved.unionByName(small.selectExpr("a", "m b")).distinct(), "edges")
-        if (after := _signature(now)) == seen:
-            break
-        seen = after
-    return now.selectExpr("a node", "b root").unionByName(now.selectExpr("b node", "b root").distinct())
