@@ -168,7 +168,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int,
 
     # copy groups are no more than texts, so only holders of what enough texts have are grouped
     able = stored(holders.join(supported(holders, "text_hash"), "kind", "left_semi"), "holders")
-    groups = stored(copy_groups(rows, "doc_id", "data", only=able.select("text_hash").distinct()).select("text_hash", "class").distinct(), "copies")
+    groups = stored(copy_groups(rows, "doc_id", "data", only=stored(able.select("text_hash").distinct(), "able")).select("text_hash", "class").distinct(), "copies")
     return found, lines.join(supported(able.join(groups, "text_hash"), "class"), "kind", "left_semi").select(F.col("of").alias("line")).distinct()
 
 
