@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Words and other pieces that a worker remembers; over that it starts anew, so memory has a bound.
-WORDS, PIECES = 200_000, 80_000
+WORDS, PIECES = 500_000, 100_000
 #: Parts looked up at once.
 SLICE = 1 << 16
 # Fixed value: the pattern of the byte-level pre-tokenizer.
