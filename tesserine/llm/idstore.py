@@ -16,8 +16,8 @@ from .common import bounded_batches, scratch_path, stored, texts
 from .files import Ranges, remove_folder, write_file
 from .tokens import chunk_ends, encoder, merkle_root, tokenizer_path
 
-#: Bytes of ids to a compressed frame of a draft pack.
-FRAME = 1 << 20
+#: Bytes of ids to a compressed frame of a draft pack, and words that a worker remembers.
+FRAME, WORDS = 1 << 20, 1_000_000
 
 
 def chunk_key(data: bytes) -> bytes:
@@ -32,7 +32,7 @@ def _draft(docs: DataFrame, path: str, folder: str, narrow: bool) -> DataFrame:
     kind = np.dtype("<u2" if narrow else "<u4")
 
     def run(batches):
-        made, squeeze = encoder(path), zstandard.ZstdCompressor(level=1)
+        made, squeeze = encoder(path, WORDS), zstandard.ZstdCompressor(level=1)
         seen: set[bytes] = set()
         uri, out, frame, place = "", None, bytearray(), 0
         for b in batches:

@@ -15,8 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Words and other pieces that a worker remembers; over that it starts anew, so memory has a bound.
-WORDS, PIECES = 500_000, 100_000
+#: Words and other pieces that a worker remembers, unless it is told otherwise; over that it starts anew, so memory has a bound. A worker outlives its
+#: stage, so what it remembers takes room in later stages, too.
+WORDS, PIECES = 200_000, 100_000
 #: Parts looked up at once.
 SLICE = 1 << 16
 # Fixed value: the pattern of the byte-level pre-tokenizer.
@@ -36,10 +37,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int = WORDS) -> Encoder:
     """One encoder a worker and file: it outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].most = words
     return _ENCODERS[path]
 
 
@@ -59,6 +61,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.most = WORDS
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.split = self._splitter(path)
@@ -88,7 +91,7 @@ class Encoder:
         got = table.get(key)
         if got is None:
             got = self._ids([piece])[0]
-            if len(table) >= (WORDS if table is self.words else PIECES):
+            if len(table) >= (self.most if table is self.words else PIECES):
                 table.clear()
             table[key] = got
         return got
@@ -102,7 +105,7 @@ class Encoder:
         else:
             signs = (" " + word).encode().decode("latin-1").translate(BYTE_SIGNS)
         got = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-        if len(self.words) >= WORDS:
+        if len(self.words) >= self.most:
             self.words.clear()
         self.words[word] = got
         return got
