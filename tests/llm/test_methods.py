@@ -586,3 +586,28 @@ def test_a_footer_goes_from_all_documents(spark):
 def test_rows_without_an_id_or_with_one_twice(spark):
     rows = [(None, f"quite different text number {c} about {c * 5}") for c in "abcde"] + [(9, "one text of nine"), (9, "another wholly different one")]
     assert simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 7
+
+
+def test_recall_of_near_copies(spark):
+    from collections import Counter, defaultdict
+    from pathlib import Path
+
+    table = Path("/root/testdata/sf0.1/documents.parquet")
+    if not table.exists():
+        pytest.skip("the larger tables aren't here")
+    docs = spark.read.parquet(str(table)).select("doc_id", "text")
+    root = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(docs).collect()}
+    first = {}
+    for r in docs.collect():
+        first.setdefault(r["text"] or "", r["doc_id"])
+    ids, sets, holders = list(first.values()), [], defaultdict(list)
+    for i, text in enumerate(first):
+        w = text.encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+        for shingle in sets[-1]:
+            holders[shingle].append(i)
+    # a pair of similarity 0.8 shares shingles that few documents have
+    shared = Counter(p for own in holders.values() if len(own) <= 100 for p in itertools.combinations(own, 2))
+    near = [(x, y) for (x, y), n in shared.items() if n >= 0.5 * max(len(sets[x]), len(sets[y])) and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    linked = sum(root[ids[x]] == root[ids[y]] for x, y in near)
+    assert len(near) >= 30 and linked >= 0.97 * len(near)
