@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from .common import blobs, bounded_batches, held_out, stored
 
 #: Tokens that one pass of the recursions holds, and tokens gathered before texts are sorted by length: many long texts side by side make few steps.
-PASS, GATHER = 1_500_000, 8_000_000
+PASS, GATHER = 1_500_000, 4_000_000
 
 
 @dataclass
 class Shape:
-    """Symbols: ``own`` frequent words have one each, other words share ``endings`` by their last three bytes, and the end of a text has the last."""
+    """Symbols: ``own`` frequent words have one each, other words share ``endings`` by their last three bytes, and the end of a text has the last.
+
+    In stored texts a word that shares an ending but has emissions of its own (see ``lm_scores``) is told by its code: ``symbols`` plus its ending.
+    """
 
     states: int = 8
     own: int = 4096
@@ -29,10 +32,18 @@ class Shape:
     def symbols(self) -> int:
         return self.own + self.endings + 1
 
+    @property
+    def codes(self) -> int:
+        return self.symbols + self.endings
+
     @property
     def end(self) -> int:
         return self.own + self.endings
 
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        """The symbols of codes."""
+        return np.where(codes >= self.symbols, codes - self.endings - 1, codes)
+
     def ending_column(self, word: Column) -> Column:
         """Which of the endings a word (binary) has."""
         return F.pmod(F.crc32(F.substring(word, -3, 3)), F.lit(self.endings)).cast("int")
@@ -155,15 +166,18 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.select("data").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _symbolised(rows: DataFrame, counts: DataFrame, blocks: int, shape: Shape, own: dict[bytes, int], mass: np.ndarray, ends: int) -> DataFrame:
-    """rows: doc_id, held_out, data. Each text as symbols, with what its words' counts add up to.
+def _symbolised(rows: DataFrame, counts: DataFrame, blocks: int, shape: Shape, own: dict[bytes, int], rare: np.ndarray, ends: int) -> DataFrame:
+    """rows: doc_id, held_out, data; counts: word, c, number (null for a rare word); rare: the mass of rare words by ending. Each text as
+    codes, with what its words' counts add up to.
 
     A vocabulary has no bound, so it isn't broadcast: texts are dealt to blocks, each block asks for the counts of its distinct
-    words by a join, and meets the answer in one task. Output: doc_id, held_out, n_tokens, n_known, log_counts (the sum of
-    log10(c + 0.5)), within (of log10 of the words' shares in their symbols), symbols (16-bit integers).
+    words by a join, and meets the answer in one task. Output: block, doc_id, held_out, n_tokens, n_known, log_counts (the sum of
+    log10(c + 0.5)), within (of log10 of the rare words' shares among those of their endings), codes (16-bit integers), numbers (of the
+    words with emissions of their own, in the order of their codes, 64-bit integers).
     """
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("data")), F.lit(blocks)).cast("int"))
-    shipped = rows.sparkSession.sparkContext.broadcast(np.log10(mass))
+    shipped = rows.sparkSession.sparkContext.broadcast(np.log10(rare))
+    columns = ["block", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "within", "codes", "numbers"]
 
     def ask(t: pa.Table) -> pa.Table:
         words: set[bytes] = set()
@@ -173,76 +187,146 @@ def _symbolised(rows: DataFrame, counts: DataFrame, blocks: int, shape: Shape, o
 
     def answer(t: pa.Table, met: pa.Table) -> pa.Table:
         place = {w: k for k, w in enumerate(met.column("word").to_pylist())}
-        c, symbol = met.column("c").to_numpy(), met.column("symbol").to_numpy()
+        c, code, number = (met.column(x).to_numpy() for x in ("c", "code", "number"))
         log_c = np.log10(c + 0.5)
-        within = np.where(symbol < shape.own, 0.0, log_c - shipped.value[np.maximum(symbol - shape.own, 0)])
+        ending = code - shape.own
+        within = np.where((ending >= 0) & (ending < shape.endings), log_c - shipped.value[np.clip(ending, 0, shape.endings - 1)], 0.0)
         out = []
         for data in t.column("data"):
             w = data.as_py().lower().split()
             k = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-            out.append((len(w) + 1, int((c[k] > 0).sum()) + (ends > 0), float(log_c[k].sum() + np.log10(ends + 0.5)), float(within[k].sum()), np.append(symbol[k], shape.end).astype("<u2").tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-        return pa.table([t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "within", "symbols"])
+            codes = np.append(code[k], shape.end)
+            out.append((len(w) + 1, int((c[k] > 0).sum()) + (ends > 0), float(log_c[k].sum() + np.log10(ends + 0.5)), float(within[k].sum()), codes.astype("<u2").tobytes(), number[k[codes[:-1] >= shape.symbols]].astype("<i8").tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+        return pa.table([*(t.column(x).combine_chunks() for x in columns[:3]), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], columns)
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, word binary")
     rank = F.broadcast(rows.sparkSession.createDataFrame([(bytearray(w), k) for w, k in own.items()], "word binary, rank int"))
-    symbol = F.coalesce("rank", F.lit(shape.own) + shape.ending_column(F.col("word")))
-    met = asked.join(counts, "word", "left").join(rank, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"), symbol.cast("int").alias("symbol"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, within double, symbols binary"
+    ending = shape.ending_column(F.col("word"))
+    code = F.coalesce("rank", F.when(F.col("number").isNull(), F.lit(shape.own) + ending).otherwise(F.lit(shape.symbols) + ending))
+    met = asked.join(counts, "word", "left").join(rank, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"), code.cast("int").alias("code"), F.coalesce("number", F.lit(-1)).alias("number"))
+    schema = "block int, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, within double, codes binary, numbers binary"
     return dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(answer, schema)
 
 
-def _gathered(batches, column: str):
-    """Batches joined until they hold GATHER symbols: (table, symbols of each row)."""
+def _arrays(t: pa.Table, column: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), kind) for x in t.column(column)]
+
+
+def _gathered(batches, column: str, width: int):
+    """Batches joined until ``column`` holds GATHER integers of ``width`` bytes."""
     held, size = [], 0
     for b in batches:
         held.append(b)
-        size += b.column(column).nbytes // 2
+        size += b.column(column).nbytes // width
         if size > GATHER:
-            t = pa.Table.from_batches(held)
-            yield t, [np.frombuffer(x.as_py(), "<u2") for x in t.column(column)]
+            yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
-        t = pa.Table.from_batches(held)
-        yield t, [np.frombuffer(x.as_py(), "<u2") for x in t.column(column)]
+        yield pa.Table.from_batches(held)
+
+
+def with_words(shape: Shape, codes: list[np.ndarray], numbers: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
+    """Texts in which the word with the k-th of the ``known`` numbers, which ascend, is the integer ``symbols`` + k."""
+    out = []
+    for x, n in zip(codes, numbers, strict=True):
+        y = x.astype(np.int32)
+        y[x >= shape.symbols] = shape.symbols + np.searchsorted(known, n)
+        out.append(y)
+    return out
 
 
-def train(texts: DataFrame, shape: Shape, frequency: np.ndarray, rounds: int) -> Model:
-    """Baum-Welch on all rows (symbols binary). Each partition sums its expected counts, Spark sums these by row of the model, and a model's size reaches the driver."""
+@dataclass
+class Trained:
+    """model, and the last round's expected counts: total by symbol and state, rare (those of rare words) by ending and state; words: number, v0, v1, ... by state."""
+
+    model: Model
+    total: np.ndarray
+    rare: np.ndarray
+    words: DataFrame
+
+
+def train(texts: DataFrame, shape: Shape, frequency: np.ndarray, rounds: int) -> Trained:
+    """Baum-Welch on all rows (codes, numbers). Each partition sums its expected counts, Spark sums these by row of the model, and a model's size reaches the driver.
+
+    The last round also sums the expected counts of each numbered word by state; these are a table, as their number grows with the corpus.
+    """
     model = Model.first(shape, frequency)
-    s = shape.states
+    s, bounded = shape.states, 1 + shape.states + shape.symbols + shape.endings
     columns = [f"v{k}" for k in range(s)]
-    schema = "row int, " + ", ".join(f"{c} double" for c in columns)
-    for _ in range(rounds):
+    schema = "row long, " + ", ".join(f"{c} double" for c in columns)
+    for k in range(rounds):
+        last = k + 1 == rounds
         shipped = texts.sparkSession.sparkContext.broadcast(model)
 
-        def expect(batches, shipped=shipped):
-            start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((shape.symbols, s))
-            for _, symbols in _gathered(batches, "symbols"):
-                a, m, e, _ = expected_counts(shipped.value, symbols)
+        def expect(batches, shipped=shipped, last=last):
+            def batch(rows, values):
+                return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int64)), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(s))], ["row", *columns])
+
+            start, move, emit, rare = np.zeros(s), np.zeros((s, s)), np.zeros((shape.symbols, s)), np.zeros((shape.endings, s))
+            for t in _gathered(batches, "codes", 2):
+                codes = _arrays(t, "codes", "<u2")
+                if last:
+                    numbers = _arrays(t, "numbers", "<i8")
+                    every = np.concatenate(codes)
+                    known, first = np.unique(np.concatenate(numbers), return_index=True)
+                    symbol = shape.classes(every[every >= shape.symbols][first].astype(np.int64))
+                    m = shipped.value
+                    a, b, e, _ = expected_counts(Model(m.start, m.move, np.concatenate([m.emit, m.emit[symbol]])), with_words(shape, codes, numbers, known))
+                    rare += e[shape.own : shape.end]
+                    words, e = e[shape.symbols :], e[: shape.symbols]
+                    np.add.at(e, symbol, words)
+                    for lo in range(0, len(known), 100_000):
+                        yield batch(bounded + known[lo : lo + 100_000], words[lo : lo + 100_000])
+                else:
+                    a, b, e, _ = expected_counts(shipped.value, [shape.classes(x) for x in codes])
                 start += a
-                move += m
+                move += b
                 emit += e
-            table = np.concatenate([start[None], move, emit])
+            table = np.concatenate([start[None], move, emit, rare])
             rows = np.flatnonzero(table.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(table[rows, k]) for k in range(s))], ["row", *columns])
-
-        table = np.zeros((1 + s + shape.symbols, s))
-        for r in texts.select("symbols").mapInArrow(expect, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).collect():
+            yield batch(rows, table[rows])
+
+        read = texts.select("codes", *(["numbers"] if last else []))
+        sums = read.mapInArrow(expect, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns])
+        if last:
+            sums = stored(sums, "emissions")
+        table = np.zeros((bounded, s))
+        for r in sums.where(F.col("row") < bounded).collect():
             table[r["row"]] = [r[c] for c in columns]
-        model = model.updated(table[0], table[1 : 1 + s], table[1 + s :])
+        start, move, emit, rare = np.split(table, [1, 1 + s, 1 + s + shape.symbols])
+        model = model.updated(start[0], move, emit)
         shipped.unpersist()
-    return model
+    words = sums.where(F.col("row") >= bounded).select((F.col("row") - bounded).alias("number"), *columns)
+    return Trained(model, emit, rare, words)
+
+
+def _asked_numbers(texts: DataFrame) -> DataFrame:
+    """block, number: which numbered words a block has; a pair may be there more than once."""
+
+    def run(batches):
+        for t in _gathered(batches, "numbers", 8):
+            block, numbers = t.column("block").to_numpy(), _arrays(t, "numbers", "<i8")
+            for b in np.unique(block):
+                own = np.unique(np.concatenate([numbers[k] for k in np.flatnonzero(block == b)]))
+                for lo in range(0, len(own), 100_000):
+                    part = own[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int32)), pa.array(part)], ["block", "number"])
+
+    return texts.select("block", "numbers").mapInArrow(run, "block int, number long")
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, states: int = 8, own_words: int = 4096, endings: int = 4096, rounds: int = 4, block_bytes: int = 16 << 20, own_bytes: int = 64) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, states: int = 8, own_words: int = 4096, endings: int = 4096, rounds: int = 4, block_bytes: int = 16 << 20, own_bytes: int = 64, min_count: int = 10, shrink: float = 0.1) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from all rows whose crc32(id as text) mod ``folds`` is not ``fold``. base_score is the text's log10 probability under the
     unigram counts of the training rows with half a count more for each of them and for the unknown word. score is that
-    under the hidden Markov model: states emit symbols (see Shape), a symbol gives a word by the same smoothed
-    counts, an unknown word having half a count in each symbol of endings. Words of over ``own_bytes`` bytes share the symbols of
-    endings however frequent they are, which bounds what is broadcast. All sums of products are exact for the whole text.
+    under the hidden Markov model: states emit symbols (see Shape). Among the words that share an ending, each with at least ``min_count``
+    training occurrences has emissions of its own, however many such words there are: its share of the symbol in a state is in proportion to its
+    expected count there in the last round plus ``shrink`` times its smoothed count. What is left of the symbol is divided among
+    its rare words by their smoothed counts, an unknown word having half a count in each ending. So what is learned grows with the corpus, and only
+    symbols (frequent words, endings) are broadcast. Words of over ``own_bytes`` bytes are never among the frequent ones, which bounds
+    that broadcast. All sums of products are exact for the whole text.
 
     Null text counts as empty: only its end. Rows repeated are learned from and scored each; a null id counts as
     the empty text when held out. Without training rows the model is the first one. An empty table gives no rows.
@@ -250,35 +334,51 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     spark = docs.sparkSession
     bounded_batches(spark)
     shape = Shape(states, own_words, endings)
-    if shape.symbols > 1 << 16:
-        raise ValueError("symbols are kept in 16 bits")
+    if shape.codes > 1 << 16 or rounds < 1:
+        raise ValueError("codes are kept in 16 bits, and there must be a round")
     rows = blobs(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "data")
     size = rows.agg(F.sum(F.length("data")).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
     ends, blocks = size["ends"] or 0, max(1, -(-(size["bytes"] or 0) // block_bytes))
-    counts = stored(count_words(rows.where("not held_out")), "words")
+    counted = count_words(rows.where("not held_out"))
+    counts = stored(counted.withColumn("number", F.when(F.col("c") >= min_count, F.monotonically_increasing_id())), "words")
     known = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (known["n"] or 0) + ends, known["v"] + (ends > 0)
 
     frequent = counts.where(F.length("word") <= own_bytes).orderBy(F.desc("c"), "word").limit(own_words)
     top = [(bytes(r["word"]), r["c"]) for r in frequent.collect()]
     others = counts.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w, _ in top], "word binary")), "word", "left_anti")
-    mass = np.full(endings, 0.5)
-    for r in others.groupBy(shape.ending_column(F.col("word")).alias("e")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
-        mass[r["e"]] += r["m"]
+    mass, rare, weight = np.full(endings, 0.5), np.full(endings, 0.5), F.col("c") + 0.5
+    ending = shape.ending_column(F.col("word")).alias("ending")
+    for r in others.groupBy(ending).agg(F.sum(weight).alias("m"), F.sum(F.when(F.col("number").isNull(), weight).otherwise(0.0)).alias("r")).collect():
+        mass[r["ending"]] += r["m"]
+        rare[r["ending"]] += r["r"]
     frequency = np.concatenate([np.pad(np.array([c for _, c in top], float), (0, own_words - len(top))), mass, [ends]])
 
-    texts = stored(_symbolised(rows, counts, blocks, shape, {w: k for k, (w, _) in enumerate(top)}, mass, ends), "symbols")
-    model = spark.sparkContext.broadcast(train(texts.where("not held_out"), shape, frequency, rounds))
+    texts = stored(_symbolised(rows, counts, blocks, shape, {w: k for k, (w, _) in enumerate(top)}, rare, ends), "symbols")
+    trained = train(texts.where("not held_out"), shape, frequency, rounds)
+    m, shared = trained.model, slice(own_words, own_words + endings)
+    # what one expected count of a word is worth in each state, by ending; the rare words keep the rest of their symbol
+    worth = m.emit[shared] / (trained.total[shared] + shrink * mass[:, None])
+    emit = m.emit.copy()
+    emit[shared] = worth * (trained.rare + shrink * rare[:, None])
+    shipped = spark.sparkContext.broadcast((Model(m.start, m.move, emit), worth))
+    numbered = counts.where("number is not null").select("number", ending, "c").join(trained.words, "number")
+    met = _asked_numbers(texts).join(numbered, "number")
     per_token = float(np.log10(n + 0.5 * (v + 1)))
 
-    def score(batches):
-        for t, symbols in _gathered(batches, "symbols"):
-            likelihood = np.zeros(len(symbols))
-            for own, active, flat in _steps(symbols):
-                likelihood[own] = forward(model.value, active, flat)[0]
-            scored = likelihood / np.log(10) + t.column("within").to_numpy()
-            base = t.column("log_counts").to_numpy() - t.column("n_tokens").to_numpy() * per_token
-            whole = pa.table([*(t.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(symbols), n, np.int64)), pa.array(base), pa.array(scored)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-            yield from whole.to_batches()
-
-    return texts.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def score(t: pa.Table, met: pa.Table) -> pa.Table:
+        model, worth = shipped.value
+        known, first = np.unique(met.column("number").to_numpy(), return_index=True)
+        c, of = (met.column(x).to_numpy()[first] for x in ("c", "ending"))
+        expected = np.stack([met.column(f"v{k}").to_numpy()[first] for k in range(states)], 1)
+        model = Model(model.start, model.move, np.concatenate([model.emit, worth[of] * (expected + shrink * (c[:, None] + 0.5))]))
+        codes = with_words(shape, _arrays(t, "codes", "<u2"), _arrays(t, "numbers", "<i8"), known)
+        likelihood = np.zeros(len(codes))
+        for own, active, flat in _steps(codes):
+            likelihood[own] = forward(model, active, flat)[0]
+        scored = likelihood / np.log(10) + t.column("within").to_numpy()
+        base = t.column("log_counts").to_numpy() - t.column("n_tokens").to_numpy() * per_token
+        return pa.table([*(t.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(codes), n, np.int64)), pa.array(base), pa.array(scored)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return texts.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(score, schema)
