@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 from io import BytesIO
 
 import numpy as np
@@ -229,6 +230,81 @@ def test_model_is_a_distribution(spark):
     assert rows[0]["train_tokens"] == sum(len(t.split()) + 1 for t in train)
 
 
+def test_scores_by_brute_force(spark):
+    """The trained query against plain recursions: symbols, rounds, emissions of single words, scores."""
+    draw = np.random.default_rng(12)
+    pool = [[f"{a}{b}" for b in ("xing", "ying", "ed", "lly", "")] for a in "abcd"]
+    texts = [" ".join(pool[(k % 2) * 2 + int(draw.integers(0, 2))][int(draw.integers(0, 5))] for _ in range(draw.integers(0, 9))) + (f" once{k}" if k % 9 == 0 else "") for k in range(80)]
+    s, own, endings, shrink, least = 2, 3, 4, 0.1, 8
+    held = [zlib.crc32(str(k).encode()) % 5 == 1 for k in range(80)]
+    words = [t.encode().split() for t in texts]
+    c = Counter(w for x, h in zip(words, held, strict=True) if not h for w in x)
+    ends = held.count(False)
+    top = sorted(c, key=lambda w: (-c[w], w))[:own]
+    alone = {w for w in c if c[w] >= least and w not in top}
+    assert len(alone) > 3 and any(c[w] < least for w in c) and any(w not in c for x in words for w in x)
+
+    def symbol(w):
+        return top.index(w) if w in top else own + zlib.crc32(w[-3:]) % endings
+
+    mass, rare = np.full(endings, 0.5), np.full(endings, 0.5)
+    for w in c:
+        if w not in top:
+            mass[symbol(w) - own] += c[w] + 0.5
+            rare[symbol(w) - own] += (c[w] + 0.5) * (w not in alone)
+    shape = hmm.Shape(s, own, endings)
+    model = hmm.Model.first(shape, np.concatenate([[c[w] for w in top], mass, [ends]]).astype(float))
+
+    def sequence(x):
+        return [symbol(w) for w in x] + [own + endings]
+
+    def posteriors(x):
+        a, b = [model.start * model.emit[x[0]]], [np.ones(s)]
+        for y in x[1:]:
+            a.append(a[-1] @ model.move * model.emit[y])
+        for y in x[:0:-1]:
+            b.insert(0, model.move @ (model.emit[y] * b[0]))
+        p = a[-1].sum()
+        moves = sum((np.outer(a[t], model.emit[x[t + 1]] * b[t + 1]) * model.move / p for t in range(len(x) - 1)), np.zeros((s, s)))
+        return np.array(a) * np.array(b) / p, moves
+
+    for _ in range(3):
+        start, move, emit, single, left = np.zeros(s), np.zeros((s, s)), np.zeros((shape.symbols, s)), {w: np.zeros(s) for w in alone}, np.zeros((endings, s))
+        for x in (x for x, h in zip(words, held, strict=True) if not h):
+            gamma, moves = posteriors(sequence(x))
+            start += gamma[0]
+            move += moves
+            for w, y, g in zip([*x, None], sequence(x), gamma, strict=True):
+                emit[y] += g
+                if w in alone:
+                    single[w] += g
+                elif own <= y < own + endings:
+                    left[y - own] += g
+        model = model.updated(start, move, emit)
+
+    def emission(w):
+        y = symbol(w)
+        if y < own:
+            return model.emit[y]
+        e = y - own
+        whole = model.emit[y] / (emit[y] + shrink * mass[e])
+        return whole * (single[w] + shrink * (c[w] + 0.5)) if w in alone else whole * (left[e] + shrink * rare[e]) * (c[w] + 0.5) / rare[e]
+
+    # the shares of an ending's words and of the unknown word add up to the ending
+    for e in range(endings):
+        whole = sum((emission(w) for w in c if w not in top and symbol(w) == own + e), np.zeros(s))
+        unknown = model.emit[own + e] / (emit[own + e] + shrink * mass[e]) * (left[e] + shrink * rare[e]) * 0.5 / rare[e]
+        np.testing.assert_allclose(whole + unknown, model.emit[own + e], rtol=1e-9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = hmm.lm_scores(docs, states=s, own_words=own, endings=endings, rounds=3, block_bytes=300, min_count=least, shrink=shrink).collect()
+    assert len(got) == 80
+    for r in got:
+        a = None
+        for b in [*map(emission, words[r["doc_id"]]), model.emit[own + endings]]:
+            a = (model.start if a is None else a @ model.move) * b
+        assert math.isclose(r["score"], math.log10(a.sum()), rel_tol=1e-4)
+
+
 def test_templates_generalise(spark):
     rows = [(k, f"unique opening number {k} of text w{k * 7919 % 1009} q{k}x\nServer {k} closed the connection to host h{k} after a timeout\nprivate {chr(97 + k)} {chr(98 + k)} {chr(99 + k)} {chr(100 + k)}") for k in range(12)]
     got = {r["doc_id"]: r for r in templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=8, counts=("n", "gone")).collect()}
