@@ -13,61 +13,79 @@ from ..functions.text import without_senses
 from ..functions.values import substring_count
 
 
-def alternation(phrases: Iterable[str]) -> str:
-    """One pattern for all phrases as whole words, case aside: one pass over a text instead of one a phrase."""
-    return r"(?i)\b(?:" + "|".join(re.escape(p) for p in sorted(set(phrases), key=lambda p: (-len(p), p))) + r")\b"
+# The border of a word of A-Z, digits and _, and the letters that case folding adds to two of these.
+BORDER = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+FOLDED = {"s": "s\u017f", "S": "S\u017f", "k": "k\u212a", "K": "K\u212a"}
 
 
-def mentions(c: Column, phrases: Iterable[str]) -> Column:
+def alternation(phrases: Iterable[str], ascii_words: bool = False) -> str:
+    """One pattern for all phrases as whole words, case aside: one pass over a text instead of one a phrase.
+    ``ascii_words``: only A-Z, digits and _ make words, as for SQL's regular expressions; else letters of all scripts do."""
+    phrases = sorted(set(phrases), key=lambda p: (-len(p), p))
+    spelt = "|".join("".join(f"[{FOLDED[c]}]" if c in FOLDED else re.escape(c) for c in p) for p in phrases)
+    if not ascii_words:
+        return rf"(?i)\b(?:{spelt})\b"
+    # few places have a first letter of a phrase, and only there the costlier border is looked for
+    first = "".join(sorted({FOLDED.get(p[0], re.escape(p[0])) for p in phrases if p})) if all(phrases) else ""
+    return "(?i)" + (f"(?=[{first}])" if first else "") + f"{BORDER}(?:{spelt}){BORDER}"
+
+
+def mentions(c: Column, phrases: Iterable[str], ascii_words: bool = False) -> Column:
     phrases = [*phrases]
-    return F.coalesce(c.rlike(alternation(phrases)), F.lit(False)) if phrases else F.lit(False)
+    return F.coalesce(c.rlike(alternation(phrases, ascii_words)), F.lit(False)) if phrases else F.lit(False)
+
 
+def phrases_found(c: Column, phrases: Iterable[str], ascii_words: bool = False) -> Column:
+    """The phrases that a text holds, once each, in small letters."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(alternation(phrases, ascii_words)), 0)
+    return F.array_distinct(F.transform(found, lambda p: F.lower(F.translate(p, "\u017f\u212a", "sk"))))
 
-def linear_score(title: Column, abstract: Column, weights: Mapping[str, tuple[float, float]], intercept: float, strong: Iterable[str] = (), bias: float = 0.0) -> Column:
+
+def linear_score(title: Column, abstract: Column, weights: Mapping[str, tuple[float, float]], intercept: float, strong: Iterable[str] = (), bias: float = 0.0, ascii_words: bool = False) -> Column:
     """intercept + the title and abstract weights of the phrases each holds + bias if the title holds a strong phrase. Phrases are found once, as an array."""
     table = F.create_map(*[F.lit(x) for p, (t, a) in weights.items() for x in (p.lower(), F.array(F.lit(float(t)), F.lit(float(a))))])
 
-    def found(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(alternation(weights)), 0), F.lower))
-
     def _adding(table: Column, k: int):
         return lambda total, phrase: total + table[phrase][k]
 
     total = F.lit(float(intercept))
     for c, k in ((title, 0), (abstract, 1)):
-        total = total + F.aggregate(found(c), F.lit(0.0), _adding(table, k))
-    return total + F.when(mentions(title, strong), float(bias)).otherwise(0.0)
+        total = total + F.aggregate(phrases_found(c, weights, ascii_words), F.lit(0.0), _adding(table, k))
+    return total + F.when(mentions(title, strong, ascii_words), float(bias)).otherwise(0.0)
 
 
-def explained_score(title: Column, abstract: Column, weights: Mapping[str, tuple[float, float]], intercept: float, threshold: float) -> Column:
-    """The score, how far from the threshold it is, and the phrases found, sorted."""
-    phrases = F.regexp_extract_all(F.concat_ws("\n", title, abstract), F.lit(alternation(weights)), 0)
-    score = linear_score(title, abstract, weights, intercept)
-    return F.struct(score.alias("score"), (score - threshold).alias("distance"), F.array_sort(F.array_distinct(F.transform(phrases, F.lower))).alias("phrases"))
+def explained_score(title: Column, abstract: Column, weights: Mapping[str, tuple[float, float]], intercept: float, threshold: float, both: Column | None = None, ascii_words: bool = False) -> Column:
+    """The score, how far from the threshold it is, and the phrases found, sorted. ``both``: the text whose phrases are listed where title and abstract
+    one after the other aren't it: a title cut out of the abstract may end in the middle of a word."""
+    both = F.concat_ws("\n", title, abstract) if both is None else both
+    score = linear_score(title, abstract, weights, intercept, ascii_words=ascii_words)
+    return F.struct(score.alias("score"), (score - threshold).alias("distance"), F.array_sort(phrases_found(both, weights, ascii_words)).alias("phrases"))
 
 
-def relevance(title: Column, abstract: Column, rules: Mapping, label: Column | None = None, learnt: Column | None = None) -> Column:
+def relevance(title: Column, abstract: Column, rules: Mapping, label: Column | None = None, learnt: Column | None = None, both: Column | None = None, ascii_words: bool = False) -> Column:
     """The first that applies: a label by hand; exclusion, unless the text also learns; a title off scope; a phrase of the floor in the title or
     abstract; the topic word in the title once its other senses are masked; title-only phrases; the linear model; a learnt promotion.
 
     rules: yes, no, excluded, learning, off_scope, floor, topic, other_senses, title_only, weights, intercept, threshold.
+    ``both``: title and abstract as one text, see ``explained_score``.
     """
-    both = F.concat_ws("\n", title, abstract)
+    both = F.concat_ws("\n", title, abstract) if both is None else both
     got = F
     if label is not None:
         got = got.when(label == "no", "no").when(label == "yes", "yes")
-    got = got.when(mentions(title, rules["excluded"]) & ~mentions(both, rules["learning"]), "no").when(mentions(title, rules["off_scope"]), "no")
-    got = got.when(mentions(both, rules["floor"]), "yes").when(without_senses(title, rules["other_senses"]).rlike(alternation(rules["topic"])), "yes").when(mentions(title, rules["title_only"]), "yes")
-    got = got.when(linear_score(title, abstract, rules["weights"], rules["intercept"]) >= rules["threshold"], "yes")
+    in_title, in_both = (lambda rule, c=c: mentions(c, rules[rule], ascii_words) for c in (title, both))
+    got = got.when(in_title("excluded") & ~in_both("learning"), "no").when(in_title("off_scope"), "no")
+    got = got.when(in_both("floor"), "yes").when(without_senses(title, rules["other_senses"]).rlike(alternation(rules["topic"], ascii_words)), "yes").when(in_title("title_only"), "yes")
+    got = got.when(linear_score(title, abstract, rules["weights"], rules["intercept"], ascii_words=ascii_words) >= rules["threshold"], "yes")
     if learnt is not None:
         got = got.when(learnt == "yes", "yes")
     return got.otherwise("no")
 
 
-def rests_on_one_mention(title: Column, abstract: Column, phrases: Iterable[str], labelled: Column, venue: Column, focused: Iterable[str]) -> Column:
+def rests_on_one_mention(title: Column, abstract: Column, phrases: Iterable[str], labelled: Column, venue: Column, focused: Iterable[str], ascii_words: bool = False) -> Column:
     """Nothing but a single mention in the abstract speaks for a paper of a venue that isn't focused."""
-    once = F.regexp_count(F.coalesce(abstract, F.lit("")), F.lit(alternation(phrases))) == 1
-    return ~labelled & ~mentions(title, phrases) & once & ~F.coalesce(venue.isin([*focused]), F.lit(False))
+    once = F.regexp_count(F.coalesce(abstract, F.lit("")), F.lit(alternation(phrases, ascii_words))) == 1
+    return ~labelled & ~mentions(title, phrases, ascii_words) & once & ~F.coalesce(venue.isin([*focused]), F.lit(False))
 
 
 def review_queue(rows: DataFrame, one_mention: Column, relevant: Column, key: str, done: DataFrame) -> DataFrame:
@@ -75,11 +93,11 @@ def review_queue(rows: DataFrame, one_mention: Column, relevant: Column, key: st
     return rows.where(one_mention & relevant & F.col("abstract").isNotNull()).dropDuplicates([key]).join(done, key, "left_anti")
 
 
-def gates(title: Column, abstract: Column, gate_phrases: Mapping[str, Iterable[str]]) -> Column:
+def gates(title: Column, abstract: Column, gate_phrases: Mapping[str, Iterable[str]], ascii_words: bool = False) -> Column:
     """The first gate of which the title holds a phrase, or the abstract two; null if none opens."""
     got = F
     for name, phrases in gate_phrases.items():
-        got = got.when(mentions(title, phrases) | (F.regexp_count(F.coalesce(abstract, F.lit("")), F.lit(alternation(phrases))) >= 2), name)
+        got = got.when(mentions(title, phrases, ascii_words) | (F.regexp_count(F.coalesce(abstract, F.lit("")), F.lit(alternation(phrases, ascii_words))) >= 2), name)
     return got.otherwise(None)
 
 
