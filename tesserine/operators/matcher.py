@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.keys import plain_key, text
+from ..scratch import stored
 
 #: A title of fewer words or letters is short and needs stronger evidence; longer ones are looked up by a prefix.
 SHORT_WORDS, SHORT_LETTERS, PREFIX, YEAR_REACH = 3, 15, 16, 250
+#: Bits of the filter of prefixes, 4 MB at any number of titles.
+CELLS = 1 << 25
 # The marks of reference structure that may stand before and after a title, and those that end a sentence.
 BEFORE, AFTER, STRONG = set('.,;"“”‘�?!()[]\n'), set('.,;"“”’�?!()[]'), set('."“”‘’�?!')
 WORD, YEAR = re.compile("[A-Za-z0-9]+"), re.compile("(?:19|20)[0-9]{2}[a-z]?")
@@ -93,36 +98,57 @@ class Entry:
 
 def title_index(papers: DataFrame, title: str = "title", year: str = "year") -> DataFrame:
     """key, short, low, high, prefix: a key that several papers share has the years of all."""
-    keyed = papers.select(plain_key(F.col(title)).alias("key"), F.size(F.regexp_extract_all(text(F.col(title)), F.lit("([A-Za-z0-9]+)"))).alias("words"), F.col(year).alias("year")).where("key <> ''")
-    got = keyed.groupBy("key").agg(F.min("words").alias("words"), F.min("year").alias("low"), F.max("year").alias("high"))
+    once = papers.groupBy(F.col(title).alias("title")).agg(F.min(year).alias("low"), F.max(year).alias("high"))
+    keyed = once.select(plain_key(F.col("title")).alias("key"), F.size(F.regexp_extract_all(text(F.col("title")), F.lit("([A-Za-z0-9]+)"))).alias("words"), "low", "high").where("key <> ''")
+    got = keyed.groupBy("key").agg(F.min("words").alias("words"), F.min("low").alias("low"), F.max("high").alias("high"))
     short = (F.col("words") < SHORT_WORDS) | (F.length("key") < SHORT_LETTERS)
     return got.select("key", short.alias("short"), "low", "high", F.substring("key", 1, PREFIX).alias("prefix"))
 
 
+def prefix_filter(prefix: Column, index: DataFrame) -> bytes:
+    """A bit for each hash that a prefix has, so at most CELLS / 64 rows reach the driver. What it lets through by chance finds nothing in the join."""
+    cell = F.pmod(F.crc32(prefix.cast("binary")), F.lit(CELLS)).cast("int")
+    words = index.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, c % 64))").alias("bits")).toArrow()
+    out = np.zeros(CELLS // 64, "<i8")
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes()
+
+
 def cited_titles(references: DataFrame, papers: DataFrame, title: str = "title", year: str = "year") -> DataFrame:
     """references: citer, raw. Rows (citer, cited): the keys of titles that a reference text holds as a whole part of it.
 
-    Titles meet texts by an equi-join on their first PREFIX letters (all letters of shorter ones) at each place where a title may
-    start; candidates are then checked in the text. The work follows the number of places and matches, not texts times titles.
+    Equal texts are read once, told by their SHA-256. Titles meet texts by an equi-join on their first PREFIX letters (all letters of shorter
+    ones) at each place where a title may start and a bit filter says that some title may begin so; candidates are then checked in
+    the text. The work follows the number of distinct texts, places and matches, not texts times titles.
     """
-    index = title_index(papers, title, year)
+    index = stored(title_index(papers, title, year), "titles")
     sizes = [r["n"] for r in index.select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]
+    shipped = references.sparkSession.sparkContext.broadcast(prefix_filter(F.col("prefix"), index))
 
     @pandas_udf("array<string>")
     def prefixes(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda r: list(dict.fromkeys(Entry(r or "").prefixes(sizes))))
+        bits = shipped.value
+
+        def there(prefix: str) -> int:
+            cell = zlib.crc32(prefix.encode()) % CELLS
+            return bits[cell >> 3] >> (cell & 7) & 1
+
+        return raw.map(lambda r: [*filter(there, dict.fromkeys(Entry(r).prefixes(sizes)))])
 
     @pandas_udf("array<string>")
     def check(raw: pd.Series, titles: pd.Series) -> pd.Series:
         # a missing year arrives as a float that equals nothing
         whole = lambda y: None if y is None or y != y else int(y)
-        return pd.Series([sorted(Entry(r or "").cited([(t["key"], t["short"], whole(t["low"]), whole(t["high"])) for t in ts])) for r, ts in zip(raw, titles, strict=True)])
+        return pd.Series([sorted(Entry(r).cited([(t["key"], t["short"], whole(t["low"]), whole(t["high"])) for t in ts])) for r, ts in zip(raw, titles, strict=True)])
 
-    named = references.select("citer", "raw", F.xxhash64("citer", "raw").alias("entry"))
-    found = named.select("entry", F.explode(prefixes("raw")).alias("prefix")).join(index, "prefix")
+    entry = F.unhex(F.sha2(F.col("raw").cast("binary"), 256)).alias("entry")
+    # so many parts as are asked for: by their bytes, small texts would be read in a few tasks
+    parts = int(references.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = references.where("raw is not null").select("raw").distinct().select("raw", entry).repartition(parts, "entry")
+    found = texts.select("entry", F.explode(prefixes("raw")).alias("prefix")).join(index, "prefix")
     candidates = found.groupBy("entry").agg(F.collect_set(F.struct("key", "short", "low", "high")).alias("titles"))
-    checked = named.join(candidates, "entry").select("citer", F.explode(check("raw", "titles")).alias("cited"))
-    return checked.distinct()
+    checked = texts.join(candidates, "entry").select("entry", F.explode(check("raw", "titles")).alias("cited"))
+    return references.select("citer", entry).join(checked, "entry").select("citer", "cited").distinct()
 
 
 def split_entries(c):

@@ -409,3 +409,14 @@ def test_a_hot_centre_of_a_star(spark):
     rows = [(1_000_000, k) for k in range(3000)] + [(k, k + 1) for k in range(5000, 5040)] + [(7, 7), (-5, 3)]
     got = {r["node"]: r["root"] for r in graph.star_components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got[1_000_000] == got[2999] == got[-5] == -5 and got[5040] == 5000 and len(got) == 3001 + 41 + 1
+
+
+def test_equal_references_are_read_once(spark, monkeypatch):
+    """Few prefixes leave the filter, equal texts are one row before any Python, and texts that differ in a sign stay apart."""
+    raws = [f"A. Author. large ring. In Proc., {1990 + k % 2}." for k in range(400)] + ["A. Author. Large Ring! 1990", None, ""]
+    references = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "citer long, raw string")
+    titles = spark.createDataFrame([("large ring", 1988), ("Large ring", 1989), ("an entirely other title of things", None), (None, 1990)], "title string, year int")
+    got = matcher.cited_titles(references, titles)
+    assert sorted(map(tuple, got.collect())) == [*((k, "largering") for k in range(0, 400, 2)), (400, "largering")]
+    bits = matcher.prefix_filter(F.col("prefix"), matcher.title_index(titles))
+    assert len(bits) == matcher.CELLS // 8 and sum(b.bit_count() for b in bits if b) == 2
