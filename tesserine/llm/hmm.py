@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import free_shuffles
 from .common import blobs, bounded_batches, held_out, stored
 
 #: Tokens that one pass of the recursions holds, and tokens gathered before texts are sorted by length: many long texts side by side make few steps.
@@ -238,7 +239,7 @@ def with_words(shape: Shape, codes: list[np.ndarray], numbers: list[np.ndarray],
 
 @dataclass
 class Trained:
-    """model, and the last round's expected counts: total by symbol and state, rare (those of rare words) by ending and state; words: number, v0, v1, ... by state."""
+    """model, and the last round's expected counts: total by symbol and state, rare (those of rare words) by ending and state; words: number, v0, v1, ... by state, floats of 32 bits."""
 
     model: Model
     total: np.ndarray
@@ -297,7 +298,8 @@ def train(texts: DataFrame, shape: Shape, frequency: np.ndarray, rounds: int) ->
         start, move, emit, rare = np.split(table, [1, 1 + s, 1 + s + shape.symbols])
         model = model.updated(start[0], move, emit)
         shipped.unpersist()
-    words = sums.where(F.col("row") >= bounded).select((F.col("row") - bounded).alias("number"), *columns)
+    # sums of 64 bits over vectors of 32; each block gets these rows again, so they travel with 32
+    words = sums.where(F.col("row") >= bounded).select((F.col("row") - bounded).alias("number"), *[F.col(c).cast("float").alias(c) for c in columns])
     return Trained(model, emit, rare, words)
 
 
@@ -355,7 +357,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     frequency = np.concatenate([np.pad(np.array([c for _, c in top], float), (0, own_words - len(top))), mass, [ends]])
 
     texts = stored(_symbolised(rows, counts, blocks, shape, {w: k for k, (w, _) in enumerate(top)}, rare, ends), "symbols")
+    free_shuffles(spark)
     trained = train(texts.where("not held_out"), shape, frequency, rounds)
+    free_shuffles(spark)
     m, shared = trained.model, slice(own_words, own_words + endings)
     # what one expected count of a word is worth in each state, by ending; the rare words keep the rest of their symbol
     worth = m.emit[shared] / (trained.total[shared] + shrink * mass[:, None])
@@ -370,7 +374,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         model, worth = shipped.value
         known, first = np.unique(met.column("number").to_numpy(), return_index=True)
         c, of = (met.column(x).to_numpy()[first] for x in ("c", "ending"))
-        expected = np.stack([met.column(f"v{k}").to_numpy()[first] for k in range(states)], 1)
+        expected = np.stack([met.column(f"v{k}").to_numpy()[first] for k in range(states)], 1).astype(float)
         model = Model(model.start, model.move, np.concatenate([model.emit, worth[of] * (expected + shrink * (c[:, None] + 0.5))]))
         codes = with_words(shape, _arrays(t, "codes", "<u2"), _arrays(t, "numbers", "<i8"), known)
         likelihood = np.zeros(len(codes))

@@ -687,3 +687,12 @@ def test_recall_of_near_copies(spark):
     near = [(x, y) for (x, y), n in shared.items() if n >= 0.5 * max(len(sets[x]), len(sets[y])) and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
     linked = sum(root[ids[x]] == root[ids[y]] for x, y in near)
     assert len(near) >= 30 and linked >= 0.97 * len(near)
+
+
+def test_emissions_of_words_travel_with_32_bits(spark):
+    shape = hmm.Shape(states=2, own=2, endings=2)
+    codes, numbers = np.array([shape.symbols, shape.end], "<u2").tobytes(), np.array([7], "<i8").tobytes()
+    words = hmm.train(spark.createDataFrame([(codes, numbers)] * 3, "codes binary, numbers binary"), shape, np.ones(shape.symbols), 1).words
+    assert words.dtypes == [("number", "bigint"), ("v0", "float"), ("v1", "float")]
+    (row,) = words.collect()
+    assert row["number"] == 7 and math.isclose(row["v0"] + row["v1"], 3, rel_tol=1e-5)
