@@ -15,7 +15,7 @@ from ..scratch import free_shuffles
 from .common import blobs, bounded_batches, held_out, stored
 
 #: Tokens that one pass of the recursions holds, and tokens gathered before texts are sorted by length: many long texts side by side make few steps.
-PASS, GATHER = 1_500_000, 4_000_000
+PASS, GATHER = 750_000, 2_000_000
 
 
 @dataclass
@@ -87,30 +87,31 @@ def _steps(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield own, active, flat
 
 
-def forward(model: Model, active: np.ndarray, flat: np.ndarray, keep: bool = False, before: np.ndarray | None = None):
+def forward(model: Model, active: np.ndarray, flat: np.ndarray, keep: tuple[np.ndarray, np.ndarray] | None = None, before: np.ndarray | None = None):
     """The natural log likelihood of each text, and the last step's vector. Each step's vector is scaled to sum 1; the logs of the scales add
-    up. ``keep``: the vectors and scales of all steps instead of the last. ``before``: the vector of the step before, where these go on."""
+    up. ``keep``: gets the vectors and scales of all steps, as ``flat`` has them. ``before``: the vector of the step before, where these go on."""
     likelihood = np.zeros(active[0])
-    kept, a, at = [], before, 0
+    a, at = before, 0
     for n in active.tolist():
         a = (model.start if a is None else a[:n] @ model.move) * model.emit[flat[at : at + n]]
         scale = a.sum(1)
         a /= scale[:, None]
         likelihood[:n] += np.log(scale)
-        at += n
         if keep:
-            kept.append((a, scale))
-    return likelihood, kept if keep else a
+            keep[0][at : at + n], keep[1][at : at + n] = a, scale
+        at += n
+    return likelihood, a
 
 
 def expected_counts(model: Model, texts: list[np.ndarray], segment: int = PASS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Of starts, moves and emissions, summed over texts, and the log likelihood. The vectors are of 32 bits, sums of 64.
+    """Of starts, moves and emissions, summed over texts, and the log likelihood. The vectors are of 32 bits, sums of 64. A pass holds one vector a
+    token: on the way back, what is expected of its state takes its place.
 
     A text of over ``segment`` tokens is alone in its group: only the vectors at the borders of its segments are kept on the way forward, and
     each segment's are computed again on the way back, so memory doesn't grow with the longest text.
     """
     s, symbols = len(model.start), len(model.emit)
-    short = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    short = Model(*(x.astype(np.float32, copy=False) for x in (model.start, model.move, model.emit)))
     start, move, emit, total = np.zeros(s), np.zeros((s, s)), np.zeros((symbols, s)), 0.0
     back = np.ascontiguousarray(short.move.T)
     for own, active, flat in _steps(texts):
@@ -123,19 +124,18 @@ def expected_counts(model: Model, texts: list[np.ndarray], segment: int = PASS)
         for lo, hi, border in zip(cuts[::-1], ends[::-1], borders[::-1], strict=True):
             steps = active[lo:hi]
             part = flat[lo:hi] if len(own) == 1 else flat
-            likelihood, kept = forward(short, steps, part, keep=True, before=border)
-            total += likelihood.sum()
-            gamma, at = np.empty((len(part), s), np.float32), len(part)
+            gamma, scale, at = np.empty((len(part), s), np.float32), np.empty(len(part), np.float32), len(part)
+            total += forward(short, steps, part, keep=(gamma, scale), before=border)[0].sum()
             for t in range(len(steps) - 1, -1, -1):
-                (a, scale), n = kept[t], int(steps[t])
+                n = int(steps[t])
                 at -= n
                 if len(beta) < n:
                     beta = np.concatenate([beta, np.ones((n - len(beta), s), np.float32)])
-                np.multiply(a, beta, out=gamma[at : at + n])
-                before = kept[t - 1][0][:n] if t else border
+                gamma[at : at + n] *= beta
+                before = gamma[at - int(steps[t - 1]) :][:n] if t else border
                 if before is not None:
                     ahead = short.emit[part[at : at + n]] * beta
-                    ahead /= scale[:, None]
+                    ahead /= scale[at : at + n, None]
                     move += before.T @ ahead
                     beta = ahead @ back
             if border is None:
@@ -272,8 +272,11 @@ def train(texts: DataFrame, shape: Shape, frequency: np.ndarray, rounds: int) ->
                     every = np.concatenate(codes)
                     known, first = np.unique(np.concatenate(numbers), return_index=True)
                     symbol = shape.classes(every[every >= shape.symbols][first].astype(np.int64))
+                    codes = with_words(shape, codes, numbers, known)
+                    del every, first, numbers  # before the passes, which hold most
                     m = shipped.value
-                    a, b, e, _ = expected_counts(Model(m.start, m.move, np.concatenate([m.emit, m.emit[symbol]])), with_words(shape, codes, numbers, known))
+                    emissions = m.emit.astype(np.float32)
+                    a, b, e, _ = expected_counts(Model(m.start, m.move, np.concatenate([emissions, emissions[symbol]])), codes)
                     rare += e[shape.own : shape.end]
                     words, e = e[shape.symbols :], e[: shape.symbols]
                     np.add.at(e, symbol, words)
@@ -318,6 +321,18 @@ def _asked_numbers(texts: DataFrame) -> DataFrame:
     return texts.select("block", "numbers").mapInArrow(run, "block int, number long")
 
 
+def packed(words: DataFrame, states: int) -> DataFrame:
+    """words: number, ending, c, v0, v1, ... The vs as one binary of 32-bit floats, ``expected``: as columns they would take eight bytes each in a shuffle."""
+
+    def run(batches):
+        for b in batches:
+            values = np.stack([b.column(f"v{k}").to_numpy() for k in range(states)], 1).astype("<f4")
+            expected = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * states), len(values), [None, pa.py_buffer(values.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("number", "ending", "c")), expected.cast(pa.binary())], ["number", "ending", "c", "expected"])
+
+    return words.mapInArrow(run, "number long, ending int, c long, expected binary")
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, states: int = 8, own_words: int = 4096, endings: int = 4096, rounds: int = 4, block_bytes: int = 16 << 20, own_bytes: int = 64, min_count: int = 10, shrink: float = 0.1) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -366,7 +381,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     emit = m.emit.copy()
     emit[shared] = worth * (trained.rare + shrink * rare[:, None])
     shipped = spark.sparkContext.broadcast((Model(m.start, m.move, emit), worth))
-    numbered = counts.where("number is not null").select("number", ending, "c").join(trained.words, "number")
+    numbered = packed(counts.where("number is not null").select("number", ending, "c").join(trained.words, "number"), states)
     met = _asked_numbers(texts).join(numbered, "number")
     per_token = float(np.log10(n + 0.5 * (v + 1)))
 
@@ -374,7 +389,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         model, worth = shipped.value
         known, first = np.unique(met.column("number").to_numpy(), return_index=True)
         c, of = (met.column(x).to_numpy()[first] for x in ("c", "ending"))
-        expected = np.stack([met.column(f"v{k}").to_numpy()[first] for k in range(states)], 1).astype(float)
+        expected = np.frombuffer(b"".join(met.column("expected").to_pylist()), "<f4").reshape(-1, states)[first].astype(float)
         model = Model(model.start, model.move, np.concatenate([model.emit, worth[of] * (expected + shrink * (c[:, None] + 0.5))]))
         codes = with_words(shape, _arrays(t, "codes", "<u2"), _arrays(t, "numbers", "<i8"), known)
         likelihood = np.zeros(len(codes))

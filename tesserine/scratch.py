@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,9 +38,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, as after ``stored``; else they stay until the driver happens to collect its garbage."""
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, as after ``stored``; else they stay until the driver happens to collect its garbage.
+
+    A thread of Py4J tells the JVM once a second what Python has let go, and the listeners' queue holds plans until it has been worked off: both come first.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(1.2)
+        with contextlib.suppress(Py4JJavaError):  # a queue that takes longer costs disk, not results
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        spark.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 from io import BytesIO
@@ -14,6 +16,7 @@ from hypothesis import strategies as st
 
 pytest.importorskip("tesserine.llm")
 from pyspark.sql import functions as F  # noqa: E402
+from tesserine import scratch  # noqa: E402
 from tesserine.llm import common, exact, hmm, mixing, packing, quality, simhash, templates, tiff, tokens, wacz  # noqa: E402
 
 
@@ -696,3 +699,44 @@ def test_emissions_of_words_travel_with_32_bits(spark):
     assert words.dtypes == [("number", "bigint"), ("v0", "float"), ("v1", "float")]
     (row,) = words.collect()
     assert row["number"] == 7 and math.isclose(row["v0"] + row["v1"], 3, rel_tol=1e-5)
+
+
+def test_a_pass_holds_one_vector_a_token():
+    """Of 32 bytes, with its scale, its symbol and what one sum over them takes; with two vectors a token it was 89 in all."""
+    draw = np.random.default_rng(21)
+    shape = hmm.Shape(states=8, own=20, endings=10)
+    model = hmm.Model.first(shape, np.ones(shape.symbols))
+    texts = [draw.integers(0, shape.symbols, 500).astype("<u2") for _ in range(400)]
+    hmm.expected_counts(model, texts[:2])
+    tracemalloc.start()
+    hmm.expected_counts(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * 200_000
+
+
+def test_expected_counts_of_a_word_travel_as_one_binary(spark):
+    values = np.array([[0.1, 2.5, 7e-9], [1e6, 0.0, 3.25]], "<f4")
+    rows = [(k + 5, k, 10 + k, *map(float, values[k])) for k in range(2)]
+    words = hmm.packed(spark.createDataFrame(rows, "number long, ending int, c long, v0 float, v1 float, v2 float"), 3)
+    assert words.dtypes == [("number", "bigint"), ("ending", "int"), ("c", "bigint"), ("expected", "binary")]
+    got = {r["number"]: r for r in words.collect()}
+    for k in range(2):
+        assert (got[k + 5]["ending"], got[k + 5]["c"], bytes(got[k + 5]["expected"])) == (k, 10 + k, values[k].tobytes())
+
+
+def test_shuffle_files_go_once_a_table_is_stored(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    gone = []
+    for k in range(3):
+        before = files()
+        assert common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), f"counts{k}").count() == 7
+        made = files() - before
+        assert made
+        scratch.free_shuffles(spark)
+        time.sleep(0.5)  # Spark deletes them in the background
+        gone.append(not made & files())
+    assert all(gone)
